@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarv.functions.urls import domain_key, page_key, query_key
+from skarv.llm.boilerplate import boilerplate, main_content
 from skarv.llm.leaks import leaks
 from skarv.llm.repeats import repeats, without_repeats
 from skarv.llm.tokens import encode_corpus
@@ -29,6 +30,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate(table(spark, d, "page_snapshots"))
+
+
+def p3_main(spark: SparkSession, d: str) -> DataFrame:
+    return main_content(table(spark, d, "page_snapshots"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats(table(spark, d, "page_snapshots"), table(spark, d, "audit_runs"))
 
@@ -41,5 +50,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_clean, p6_found, p8_ids, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_main, p5_found, p5_clean, p6_found, p8_ids, p9_found)}
 SQL: dict[str, str] = {}
