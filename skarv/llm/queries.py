@@ -9,6 +9,7 @@ from skarv.functions.urls import domain_key, page_key, query_key
 from skarv.llm.boilerplate import boilerplate, main_content
 from skarv.llm.leaks import leaks
 from skarv.llm.repeats import repeats, without_repeats
+from skarv.llm.stuffing import stuffed_pages
 from skarv.llm.tokens import encode_corpus
 from skarv.llm.topn import top_n
 from skarv.sources.tables import latest_value, table
@@ -31,11 +32,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate(table(spark, d, "page_snapshots"))
+    return boilerplate(table(spark, d, "page_snapshots"), table(spark, d, "audit_runs"))
 
 
 def p3_main(spark: SparkSession, d: str) -> DataFrame:
-    return main_content(table(spark, d, "page_snapshots"))
+    return main_content(table(spark, d, "page_snapshots"), table(spark, d, "audit_runs"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,5 +51,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_main, p5_found, p5_clean, p6_found, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed_pages(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_main, p5_found, p5_clean, p6_found, p8_ids, p9_found, p10_found)}
 SQL: dict[str, str] = {}
