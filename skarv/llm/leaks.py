@@ -68,6 +68,15 @@ def _aligned(item: str, doc: str, low: int, high: int, edits: int, need: int) ->
 
     Banded: best[d][e] is the longest run ending on diagonal d with at most e edits, in item characters.
     """
+    if not edits:
+        a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (item, doc[max(0, low) : high + len(item)]))
+        for d in range(low - max(0, low), high - max(0, low) + 1):
+            first, last = max(0, -d), min(len(a), len(b) - d)
+            if last - first >= need:
+                breaks = np.flatnonzero(a[first:last] != b[first + d : last + d])
+                if np.diff(breaks, prepend=-1, append=last - first).max() > need:
+                    return True
+        return False
     width = high - low + 1
     best = [[0] * (edits + 1) for _ in range(width)]
     for i, c in enumerate(item):
