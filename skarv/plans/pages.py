@@ -200,16 +200,22 @@ def rendering_models(spark: SparkSession, d: str) -> DataFrame:
     return pages.select(*P.KEYS, P.rendering_model(raw, scripts).alias("guessed"), P.rendered_model(raw, seen).alias("seen"), F.round(P.render_ratio(raw, seen).cast("double"), 6).alias("ratio"))
 
 
-_HOST = r"regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)"
+def url_sql(u: str) -> str:
+    """A URL's normal form in SQL."""
+    part = lambda pattern: f"regexp_extract(trim({u}), '{pattern}', 1)"
+    scheme, host = f"lower({part('^([A-Za-z][A-Za-z0-9+.-]*)://')})", f"lower({part('^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)')})"
+    path, port, rest = part("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"), part("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]*:([0-9]+)"), part(r"^[^?#]*(\?[^#]*)")
+    return (
+        f"{scheme} || '://' || {host} || (CASE WHEN {port} = '' OR ({scheme} = 'https' AND {port} = '443') OR ({scheme} = 'http' AND {port} = '80') THEN '' ELSE ':' || {port} END) || "
+        f"(CASE WHEN {path} IN ('', '/') THEN '/' WHEN {rest} = '' AND right({path}, 1) = '/' THEN left({path}, length({path}) - 1) ELSE {path} END) || {rest}"
+    )
 
 
-@query(
-    f"WITH {PAGES}, u AS (SELECT run_id, crawl_seq, trim(url) AS u, lower({_HOST}) AS h, regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p, "
-    r"regexp_extract(trim(url), '^[^?#]*(\?[^#]*)', 1) AS q, lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s, regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]*:([0-9]+)', 1) AS port FROM pages WHERE url IS NOT NULL) "
-    "SELECT run_id, crawl_seq, s || '://' || h || (CASE WHEN port = '' OR (s = 'https' AND port = '443') OR (s = 'http' AND port = '80') THEN '' ELSE ':' || port END) || "
-    "(CASE WHEN p IN ('', '/') THEN '/' WHEN q = '' AND right(p, 1) = '/' THEN left(p, length(p) - 1) ELSE p END) || q AS url, h AS host, "
-    "CASE WHEN p IN ('', '/') THEN h ELSE h || p END AS shown FROM u"
-)
+_HOST = r"lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_PATH = "regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"WITH {PAGES} SELECT run_id, crawl_seq, {url_sql('url')} AS url, {_HOST} AS host, CASE WHEN {_PATH} IN ('', '/') THEN {_HOST} ELSE {_HOST} || {_PATH} END AS shown FROM pages WHERE url IS NOT NULL")
 def url_forms(spark: SparkSession, d: str) -> DataFrame:
     pages = P.counting(_snap(spark, d), ["url"]).filter(F.col("url").isNotNull())
     u = F.trim("url")
