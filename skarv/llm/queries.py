@@ -12,6 +12,8 @@ from skarv.llm.repeats import repeats, without_repeats
 from skarv.llm.stuffing import stuffed_pages
 from skarv.llm.tokens import encode_corpus
 from skarv.llm.topn import top_n
+from skarv.plans.metrics import counting_sql
+from skarv.plans.pages import url_sql
 from skarv.sources.tables import latest_value, table
 
 
@@ -56,4 +58,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_main, p5_found, p5_clean, p6_found, p8_ids, p9_found, p10_found)}
-SQL: dict[str, str] = {}
+_LINES = (
+    "runs AS (SELECT id, lower(regexp_extract(trim(target_url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS site FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM audit_runs) WHERE rn = 1), "
+    f"p AS (SELECT run_id, crawl_seq, site, {url_sql('url')} AS url, body_text, headings FROM (SELECT *, row_number() OVER (PARTITION BY run_id, crawl_seq ORDER BY ingested_at DESC) AS rn2 FROM page_snapshots) q JOIN runs ON runs.id = q.run_id WHERE rn2 = 1 AND site <> ''), "
+    "f AS (SELECT run_id, crawl_seq, site, url, 'body_text' AS field_name, string_split(body_text, chr(10)) AS lines FROM p UNION ALL SELECT run_id, crawl_seq, site, url, 'headings', headings FROM p), "
+    r"l AS (SELECT run_id, crawl_seq, site, url, field_name, generate_subscripts(lines, 1) - 1 AS line_no, regexp_replace(lower(unnest(lines)), '[^\p{L}]+', '', 'g') AS k FROM f), "
+    "c AS (SELECT site, field_name, k FROM l WHERE k <> '' GROUP BY ALL HAVING count(DISTINCT url) >= 8)"
+)
+SQL: dict[str, str] = {
+    "p5_found": f"WITH {_LINES} SELECT run_id, crawl_seq, field_name, CAST(line_no AS INT) AS line_no FROM l JOIN c USING (site, field_name, k)",
+    "p6_found": f"WITH {counting_sql('gsc_page_query_daily')}, t AS (SELECT domain, page, query, sum(coalesce(impressions, 0)) AS n FROM c_gsc_page_query_daily GROUP BY ALL) "
+    "SELECT domain, page, query, CAST(rank_no AS INT) AS rank_no FROM (SELECT *, row_number() OVER (PARTITION BY domain, page ORDER BY n DESC, query) AS rank_no FROM t) WHERE rank_no <= 10",
+}

@@ -25,20 +25,20 @@ def top_n(df: DataFrame, group: list[str], score: str, tie: list[str], n: int, d
     among the first n and are dropped before the ranking shuffle. Only groups with more than max(direct, total/20,000) rows
     are filtered, so at most 20,000 thresholds exist and may be broadcast whatever the data; smaller groups go
     straight to the ranking. Rows equal in score and all of `tie` come out in any order among themselves. Null group keys form
-    a group. NaN scores rank as null. Group and tie columns of the result are those of df; an empty table gives no rows.
+    a group. NaN scores rank as null. The result has the columns of df (a column rank_no of df is replaced); an empty table gives no rows.
     """
-    scored = df.withColumn("_s", F.when(F.isnan(F.col(score).cast("double")), None).otherwise(F.col(score))).withColumn("_bin", score_bin(F.col(score)))
-    hist = scored.groupBy(*group, "_bin").agg(F.count("*").alias("_n"))
-    above = Window.partitionBy(*group).orderBy(F.col("_bin").desc())
+    scored = df.withColumn("__skarv_s", F.when(F.isnan(F.col(score).cast("double")), None).otherwise(F.col(score))).withColumn("__skarv_bin", score_bin(F.col(score)))
+    hist = scored.groupBy(*group, "__skarv_bin").agg(F.count("*").alias("__skarv_n"))
+    above = Window.partitionBy(*group).orderBy(F.col("__skarv_bin").desc())
     # the bin in which the n-th row lies: everything above it counts less than n
-    edges = hist.withColumn("_upto", F.sum("_n").over(above.rowsBetween(Window.unboundedPreceding, 0)))
-    per_group = edges.groupBy(*group).agg(F.sum("_n").alias("_size"), F.max(F.when(F.col("_upto") >= n, F.col("_bin"))).alias("_least"))
-    total = hist.agg(F.sum("_n"))
-    heavy = per_group.filter(F.col("_size") > F.greatest(F.lit(direct), total.scalar() / MOST_HEAVY))
-    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
-    heavy = F.broadcast(heavy.select(*keys, "_least"))
-    same = [scored[g].eqNullSafe(heavy[f"_g{i}"]) for i, g in enumerate(group)]
-    kept = scored.join(heavy, same, "left").filter(F.col("_least").isNull() | (F.col("_bin") >= F.col("_least")))
-    order = Window.partitionBy(*group).orderBy(F.col("_s").desc_nulls_last(), *[F.col(t).asc() for t in tie])
+    edges = hist.withColumn("__skarv_upto", F.sum("__skarv_n").over(above.rowsBetween(Window.unboundedPreceding, 0)))
+    per_group = edges.groupBy(*group).agg(F.sum("__skarv_n").alias("__skarv_size"), F.max(F.when(F.col("__skarv_upto") >= n, F.col("__skarv_bin"))).alias("__skarv_least"))
+    total = hist.agg(F.sum("__skarv_n"))
+    heavy = per_group.filter(F.col("__skarv_size") > F.greatest(F.lit(direct), total.scalar() / MOST_HEAVY))
+    keys = [F.col(g).alias(f"__skarv_g{i}") for i, g in enumerate(group)]
+    heavy = F.broadcast(heavy.select(*keys, "__skarv_least"))
+    same = [scored[g].eqNullSafe(heavy[f"__skarv_g{i}"]) for i, g in enumerate(group)]
+    kept = scored.join(heavy, same, "left").filter(F.col("__skarv_least").isNull() | (F.col("__skarv_bin") >= F.col("__skarv_least")))
+    order = Window.partitionBy(*group).orderBy(F.col("__skarv_s").desc_nulls_last(), *[F.col(t).asc() for t in tie])
     ranked = kept.withColumn("rank_no", F.row_number().over(order)).filter(F.col("rank_no") <= n)
-    return ranked.select(*df.columns, "rank_no")
+    return ranked.select(*[c for c in df.columns if c != "rank_no"], "rank_no")
