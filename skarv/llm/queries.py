@@ -17,16 +17,25 @@ from skarv.plans.pages import url_sql
 from skarv.sources.tables import latest_value, table
 
 
-def query_totals(rows: DataFrame) -> DataFrame:
-    """domain, page, query, impressions: totals of the counting rows; null impressions count as 0, blank queries are left out."""
-    keyed = rows.select(domain_key(F.col("domain")).alias("domain"), F.col("date"), page_key(F.col("page")).alias("page"), query_key(F.col("query")).alias("query"), "impressions", "ingested_at")
-    counting = latest_value(keyed.filter(F.col("query") != ""), ["domain", "page", "query", "date"], "impressions")
-    return counting.groupBy("domain", "page", "query").agg(F.sum(F.coalesce("impressions", F.lit(0))).alias("impressions"))
+def query_totals(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(totals, names): g1, g2, query, impressions of the counting rows, and g1, g2, domain, page.
+
+    Null impressions count as 0, blank queries are left out. Groups travel as two 64-bit hashes of domain and page, not as texts;
+    the names are joined to the result only.
+    """
+    domain, page = domain_key(F.col("domain")), page_key(F.col("page"))
+    known = [F.coalesce(c, F.lit("\0")) for c in (domain, page)]
+    group = [F.xxhash64(*known).alias("g1"), F.xxhash64(F.lit(1), *known).alias("g2")]
+    names = rows.select(*group, domain.alias("domain"), page.alias("page")).distinct()
+    keyed = rows.select(*group, "date", query_key(F.col("query")).alias("query"), "impressions", "ingested_at")
+    counting = latest_value(keyed.filter(F.col("query") != ""), ["g1", "g2", "query", "date"], "impressions")
+    return counting.groupBy("g1", "g2", "query").agg(F.sum(F.coalesce("impressions", F.lit(0))).alias("impressions")), names
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    totals = query_totals(table(spark, d, "gsc_page_query_daily"))
-    return top_n(totals, ["domain", "page"], "impressions", ["query"], 10).select("domain", "page", "query", "rank_no")
+    totals, names = query_totals(table(spark, d, "gsc_page_query_daily"))
+    top = top_n(totals, ["g1", "g2"], "impressions", ["query"], 10)
+    return top.join(names, ["g1", "g2"]).select("domain", "page", "query", "rank_no")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
