@@ -34,21 +34,14 @@ def normalize_url(url: str | None) -> str | None:
 
 
 def url_col(c: Column) -> Column:
-    """normalize_url as built-in expressions."""
+    """normalize_url as built-in expressions; each part is extracted once, so that the code stays small."""
     c = F.trim(c)
-    ok = c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")
-    scheme = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    authority = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    path = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(c, r"^[^?#]*(\?[^#]*)", 1)
-    user = F.regexp_extract(authority, r"^(.*@)", 1)
-    host = F.lower(F.regexp_replace(authority, r"^.*@", ""))
-    host = F.regexp_replace(host, r":$", "")
-    for s, p in DEFAULT_PORTS.items():
-        host = F.when(scheme == s, F.regexp_replace(host, f":{p}$", "")).otherwise(host)
-    path = F.when(path == "", "/").otherwise(path)
-    path = F.when((query == "") & (path != "/"), F.regexp_replace(path, "/$", "")).otherwise(path)
-    return F.when(ok, F.concat(scheme, F.lit("://"), user, host, path, query)).otherwise(c)
+    front = F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    user = F.regexp_extract(front, r"://(.*@)", 1)
+    lower = F.concat(F.lower(F.regexp_extract(front, "^(.*?://)", 1)), user, F.lower(F.regexp_replace(front, "^.*?://(.*@)?", "")))
+    site = F.regexp_replace(F.when(user == "", F.lower(front)).otherwise(lower), "^(?:((?:https|wss)://.*):443|((?:http|ws)://.*):80|(ftp://.*):21|(.*):)$", "$1$2$3$4")
+    rest = F.regexp_replace(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1), r"^(?=\?|$)", "/")
+    return F.when(front != "", F.concat(site, F.regexp_replace(rest, "^([^?]+)/$", "$1"))).otherwise(c)
 
 
 def host_col(c: Column) -> Column:

@@ -86,8 +86,7 @@ def als_factors(packed: DataFrame, n_days: int, rank: int, iterations: int, ridg
                         if i != j:
                             outer[:, j, i] += s
             hit = np.flatnonzero(n)
-            flat = np.hstack([n[hit, None], right[hit], outer[hit].reshape(len(hit), -1)])
-            # cast: rounding to float sums of fixed order isn't needed, the estimates are approximate anyway
+            flat = np.hstack([n[hit, None], right[hit], outer[hit].reshape(len(hit), k * k)])
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(list(flat), pa.list_(pa.float64()))], ["d", "s"])
 
         k = factors.shape[1]
