@@ -95,7 +95,7 @@ def site_metrics(page_snapshots: DataFrame, as_of: str) -> DataFrame:
     """
     f = flags()
     pages = counting(page_snapshots, FLAG_COLUMNS)
-    on = pages.select("run_id", "faq_count", "click_depth", "date_modified", "date_published", "answer_first_signals", "schema", "robots_evaluation", *[c.alias(n) for n, c in f.items()])
+    on = pages.select("run_id", "blocked_by_robots", "noindex", "faq_count", "click_depth", "date_modified", "date_published", "answer_first_signals", "schema", "robots_evaluation", *[c.alias(n) for n, c in f.items()])
     e = F.col("eligible")
     n = F.count_if(e)
     share = {k: percent(F.count_if(e & c), n) for k, c in {"schema_coverage": yes(F.col("schema.item_count") > 0), **{f"{k}_share": F.col(k) for k in ("dated", "cited", "titled", "described", "canonical", "alt_ok", "transcribed", "transparent")}}.items()}
@@ -108,7 +108,9 @@ def site_metrics(page_snapshots: DataFrame, as_of: str) -> DataFrame:
         n.alias("eligible"),
         *[F.count_if(c).alias(k) for k, c in {"broken": F.col("broken"), "orphans": F.col("orphan") & e, "deep": F.col("deep") & e, "restricted": F.col("snippet_restricted") & e, "mismatch": F.col("schema_mismatch") & e, "render_heavy": F.col("render_heavy") & e}.items()],
         F.count_if(F.col("eligible") & yes(F.col("faq_count") > 0)).alias("faq_pages"),
-        F.greatest(F.lit(0), F.coalesce(F.max("click_depth"), F.lit(0))).alias("max_depth"),
+        F.count_if(yes(F.col("blocked_by_robots"))).alias("blocked"),
+        F.count_if(yes(F.col("noindex"))).alias("noindex"),
+        F.greatest(F.lit(0), F.coalesce(F.max(F.when(e, F.col("click_depth"))), F.lit(0))).alias("max_depth"),
         F.coalesce(F.avg(F.when(e, F.coalesce("answer_first_signals.direct_answer_likelihood", F.lit(0)))), F.lit(0.0)).alias("answer_first"),
         average(fresh).alias("freshness"),
         *[c.alias(k) for k, c in share.items()],
@@ -118,16 +120,23 @@ def site_metrics(page_snapshots: DataFrame, as_of: str) -> DataFrame:
 
 #: Providers in their order, and the weights of the site scores (they add up to 100).
 PROVIDERS = ["openai", "google", "bing", "perplexity", "citation"]
-WEIGHTS = {"rendering": 14, "answer_first": 12, "citation": 10, "schema": 10, "linking": 10, "zero_click": 8, "freshness": 5, "technical": 5}
+WEIGHTS = {"crawlability": 16, "rendering": 14, "answer_first": 12, "citation": 10, "schema": 10, "linking": 10, "zero_click": 8, "freshness": 5, "technical": 5, "clusters": 10}
 
 
-def site_scores(metrics: DataFrame) -> DataFrame:
-    """run_id, score_id, score, weight: the site scores that pages alone give, in long form."""
+def site_scores(metrics: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """run_id, score_id, score, weight: the site scores in long form.
+
+    clusters: run_id, leader, size, intent (see `clusters.topic_clusters`); without them that score is left out.
+    """
     m = F.col
+    if clusters is not None:
+        stats = clusters.groupBy("run_id").agg(F.count("*").alias("n_clusters"), F.countDistinct("intent").alias("n_intents"), F.count_if(F.col("size") == 1).alias("n_single"))
+        metrics = metrics.join(stats, "run_id", "left").fillna(0, ["n_clusters", "n_intents", "n_single"])
     n = F.greatest(m("eligible"), F.lit(1))
     pct = lambda c: percent(m(c), n)
     any_faq = m("faq_pages") > 0
     scores = {
+        "crawlability": 100 - m("blocked") * 4 - m("noindex") * 3 - m("broken") * 5 - round1(pct("orphans") * 0.7),
         "rendering": 100 - round1(pct("render_heavy") * 1.1) - F.when(m("max_depth") > 5, 8).otherwise(0),
         "answer_first": m("answer_first") * 0.8 + F.when(any_faq, 12).otherwise(0),
         "citation": m("cited_share") * 0.55 + m("transparent_share") * 0.45,
@@ -137,6 +146,9 @@ def site_scores(metrics: DataFrame) -> DataFrame:
         "freshness": m("dated_share") * 0.4 + m("freshness") * 0.6,
         "technical": m("titled_share") * 0.25 + m("described_share") * 0.2 + m("canonical_share") * 0.2 + m("alt_ok_share") * 0.2 + m("transcribed_share") * 0.15,
     }
+    if clusters is not None:
+        wanted = F.greatest(F.lit(3), F.floor(n / 10))
+        scores["clusters"] = F.least(F.lit(1.0), m("n_clusters") / wanted) * 62 + F.least(F.lit(1.0), m("n_intents") / 4) * 30 - F.least(F.lit(20), m("n_single") * 3) + 8
     long = F.array(*[F.struct(F.lit(k).alias("score_id"), round1(clamp(v.cast("double"))).alias("score"), F.lit(WEIGHTS[k]).alias("weight")) for k, v in scores.items()])
     return metrics.select("run_id", F.inline(long))
 
@@ -146,6 +158,20 @@ def total_score(scores: DataFrame) -> DataFrame:
     return scores.groupBy("run_id").agg(round1(F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("total"))
 
 
+def provider_scores(metrics: DataFrame, verified: bool = False) -> DataFrame:
+    """run_id, provider, score (0..100, one decimal). verified: the site announces changes by IndexNow."""
+    m = F.col
+    weak = lambda limit: F.greatest(F.lit(0.0), limit - m("answer_first"))
+    lost = {
+        "openai": m("blocked_openai") * 4 + weak(70) * 0.45 + m("restricted") * 3 - m("transparent_share") * 0.08,
+        "google": m("blocked_google") * 2 + m("noindex") * 3 + m("render_heavy") * 4 + m("mismatch") * 4 - m("schema_coverage") * 0.05,
+        "bing": m("blocked_bing") * 4 + m("restricted") * 3 + F.lit(0 if verified else 8) - m("schema_coverage") * 0.04,
+        "perplexity": m("blocked_perplexity") * 4 + weak(65) * 0.40 + F.when(m("cited_share") < 60, 8).otherwise(0) - m("cited_share") * 0.05,
+        "citation": weak(65) * 0.35 + m("restricted") * 2 - m("transparent_share") * 0.05,
+    }
+    return metrics.select("run_id", F.inline(F.array(*[F.struct(F.lit(p).alias("provider"), round1(clamp((100 - x).cast("double"))).alias("score")) for p, x in lost.items()])))
+
+
 #: Words and patterns of the answer check.
 QUESTION_WORDS = ["hva", "hvem", "hvordan", "hvorfor", "når", "where", "what", "who", "how", "why", "when", "which"]
 BOILERPLATE_WORDS = r"(?iu)velkommen til|les mer om|kontakt oss|her finner du|på denne siden|vi tilbyr|thank you for visiting|this (page|site|website) (is|contains|provides)|cookie|privacy policy|all rights reserved"

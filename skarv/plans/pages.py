@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skarv.functions import text as T
 from skarv.functions.urls import host_col, url_col
 from skarv.operators import clusters as C
+from skarv.operators import insights as I
 from skarv.operators import pages as P
 from skarv.sources.tables import table
 
@@ -91,7 +92,7 @@ METRICS = (
     f"f AS (SELECT *, ({FLAGS_SQL['eligible']}) AS e, coalesce(date_modified, date_published) AS stamp FROM pages), "
     "metrics AS (SELECT run_id, count(*) AS pages, CAST(count_if(e) AS BIGINT) AS eligible, "
     + ", ".join(f"CAST(count_if(({FLAGS_SQL[v]}){'' if k == 'broken' else ' AND e'}) AS BIGINT) AS {k}" for k, v in {"broken": "broken", "orphans": "orphan", "deep": "deep", "restricted": "snippet_restricted", "mismatch": "schema_mismatch", "render_heavy": "render_heavy"}.items())
-    + ", CAST(count_if(e AND coalesce(faq_count > 0, false)) AS BIGINT) AS faq_pages, greatest(0, coalesce(max(click_depth), 0)) AS max_depth, "
+    + ", CAST(count_if(e AND coalesce(faq_count > 0, false)) AS BIGINT) AS faq_pages, CAST(count_if(coalesce(blocked_by_robots, false)) AS BIGINT) AS blocked, CAST(count_if(coalesce(noindex, false)) AS BIGINT) AS noindex, greatest(0, coalesce(max(click_depth) FILTER (WHERE e), 0)) AS max_depth, "
     "coalesce(avg(CASE WHEN e THEN coalesce(answer_first_signals.direct_answer_likelihood, 0) END), 0) AS answer_first, "
     f"coalesce(avg(CASE WHEN e AND stamp IS NOT NULL THEN 100 - least(100.0, greatest(0.0, greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(stamp)) / 86400000000.0) / 365 * 100)) END), 0) AS freshness, "
     + ", ".join(f"CASE WHEN count_if(e) = 0 THEN 0.0 ELSE count_if(e AND ({v})) * 100.0 / count_if(e) END AS {k}" for k, v in _SHARES.items())
@@ -107,27 +108,19 @@ def site_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(P.site_metrics(_snap(spark, d), AS_OF))
 
 
-_SCORES = {
-    "rendering": "100 - round(CAST(render_heavy * 100.0 / n * 1.1 AS DOUBLE), 1) - (CASE WHEN max_depth > 5 THEN 8 ELSE 0 END)",
-    "answer_first": "answer_first * 0.8 + (CASE WHEN faq_pages > 0 THEN 12 ELSE 0 END)",
-    "citation": "cited_share * 0.55 + transparent_share * 0.45",
-    "schema": "schema_coverage * 0.75 + (CASE WHEN mismatch = 0 THEN 15 ELSE 0 END) - mismatch * 4",
-    "linking": "100 - round(CAST(orphans * 100.0 / n * 0.8 AS DOUBLE), 1) - round(CAST(deep * 100.0 / n * 0.4 AS DOUBLE), 1)",
-    "zero_click": "answer_first * 0.5 + schema_coverage * 0.2 + (CASE WHEN restricted > 0 THEN -20 ELSE 15 END) + (CASE WHEN faq_pages > 0 THEN 15 ELSE 0 END)",
-    "freshness": "dated_share * 0.4 + freshness * 0.6",
-    "technical": "titled_share * 0.25 + described_share * 0.2 + canonical_share * 0.2 + alt_ok_share * 0.2 + transcribed_share * 0.15",
-}
-SCORES = "m AS (SELECT *, greatest(eligible, 1) AS n FROM metrics), scores AS (" + " UNION ALL ".join(f"SELECT run_id, '{k}' AS score_id, round(least(100.0, greatest(0.0, CAST({v} AS DOUBLE))), 1) AS score, {P.WEIGHTS[k]} AS weight FROM m" for k, v in _SCORES.items()) + ")"
-
-
 @query()  # one decimal of sums of doubles: ties fall differently in the two engines, so tests compare with a tolerance
 def site_scores(spark: SparkSession, d: str) -> DataFrame:
-    return P.site_scores(P.site_metrics(_snap(spark, d), AS_OF))
+    return P.site_scores(P.site_metrics(_snap(spark, d), AS_OF), C.topic_clusters(_snap(spark, d)))
+
+
+@query()
+def provider_scores(spark: SparkSession, d: str) -> DataFrame:
+    return P.provider_scores(P.site_metrics(_snap(spark, d), AS_OF))
 
 
 @query()
 def total_scores(spark: SparkSession, d: str) -> DataFrame:
-    return P.total_score(P.site_scores(P.site_metrics(_snap(spark, d), AS_OF)))
+    return P.total_score(P.site_scores(P.site_metrics(_snap(spark, d), AS_OF), C.topic_clusters(_snap(spark, d))))
 
 
 @query()
@@ -276,3 +269,53 @@ def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def topic_members(spark: SparkSession, d: str) -> DataFrame:
     return C.members(C.term_weights(C.documents(_snap(spark, d))))
+
+
+# findings
+@query(
+    f"WITH {PAGES}, {METRICS}, r AS (SELECT run_id, 'csr-rendering' AS issue, 4 AS level FROM metrics WHERE render_heavy > 0 UNION ALL SELECT run_id, 'schema-differs', 3 FROM metrics WHERE mismatch > 0 UNION ALL "
+    "SELECT run_id, 'orphans', 3 FROM metrics WHERE orphans > 0 UNION ALL SELECT run_id, 'snippet-limits', 2 FROM metrics WHERE restricted > 0 UNION ALL SELECT run_id, 'weak-answers', 3 FROM metrics WHERE answer_first < 60 UNION ALL "
+    "SELECT run_id, 'no-sender', 2 FROM metrics WHERE transparent_share < 50 UNION ALL SELECT run_id, 'undated', 2 FROM metrics WHERE dated_share < 50) SELECT * FROM r"
+)
+def site_issues(spark: SparkSession, d: str) -> DataFrame:
+    return I.site_issues(P.site_metrics(_snap(spark, d), AS_OF))
+
+
+_WEAK = f"({FLAGS_SQL['eligible']}) AND "
+_RULES = {"weak-answers": "coalesce(answer_first_signals.direct_answer_likelihood, 0) < 55", "no-sender": f"NOT ({FLAGS_SQL['transparent']})", "undated": "date_modified IS NULL AND date_published IS NULL", "thin-metadata": f"NOT (({FLAGS_SQL['titled']}) AND ({FLAGS_SQL['described']}) AND ({FLAGS_SQL['canonical']}) AND ({FLAGS_SQL['alt_ok']}))"}
+
+
+@query(f"WITH {PAGES}, x AS (" + " UNION ALL ".join(f"SELECT run_id, crawl_seq, '{k}' AS issue, url FROM pages WHERE {_WEAK} {v}" for k, v in _RULES.items()) + ") SELECT run_id, issue, count(*) AS pages, array_to_string(list(url ORDER BY crawl_seq)[1:8], ' ') AS first_urls FROM x GROUP BY run_id, issue")
+def affected_pages(spark: SparkSession, d: str) -> DataFrame:
+    return I.affected_pages(_snap(spark, d))
+
+
+@query(
+    f"WITH {PAGES}, p AS (SELECT run_id, crawl_seq, coalesce(path, '') AS p FROM pages) SELECT run_id, crawl_seq, CASE WHEN p IN ('', '/') THEN 'home' WHEN regexp_matches(p, '(?i)kontakt|contact') THEN 'contact' WHEN regexp_matches(p, '(?i)om-oss|about|om-') THEN 'about' "
+    "WHEN regexp_matches(p, '(?i)meny|menu|mat|food|drikke|drink') THEN 'menu' WHEN regexp_matches(p, '(?i)reservasjon|bestill|booking|book|reserver') THEN 'booking' WHEN regexp_matches(p, '(?i)arrangement|event|fest|julebord|bryllup|selskap') THEN 'event' "
+    "WHEN regexp_matches(p, '(?i)kart|finn-oss|veibeskrivelse|adresse|location') THEN 'location' WHEN regexp_matches(p, '(?i)galleri|bilder|foto|gallery') THEN 'gallery' WHEN regexp_matches(p, '(?i)nyheter|blogg|news|aktuelt') THEN 'news' ELSE 'generic' END AS kind FROM p"
+)
+def path_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return P.counting(_snap(spark, d), ["path"]).select(*P.KEYS, I.path_kind(F.coalesce("path", F.lit(""))).alias("kind"))
+
+
+@query()
+def query_coverage(spark: SparkSession, d: str) -> DataFrame:
+    from skarv.operators.search import top_queries, upserted
+
+    return I.query_coverage(_snap(spark, d), top_queries(upserted(spark, d, "gsc_page_query_daily")))
+
+
+@query()
+def site_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return I.site_gaps(P.site_metrics(_snap(spark, d), AS_OF), _snap(spark, d))
+
+
+@query()
+def what_if(spark: SparkSession, d: str) -> DataFrame:
+    return I.what_if(_snap(spark, d), AS_OF)
+
+
+@query()
+def issue_lists(spark: SparkSession, d: str) -> DataFrame:
+    return I.markdown_lists(I.affected_pages(_snap(spark, d)), "run_id", "issue", "first_urls")

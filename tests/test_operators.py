@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skarv.functions import text as T
 from skarv.functions.unicode import slug_of, tokens_of
-from skarv.operators import clusters, pages, runs, search
+from skarv.operators import clusters, insights, pages, runs, search
 
 T0 = dt.datetime(2026, 1, 1)
 PAGE = """url string, path string, discovered_from string, status_code int, content_type string, canonical_url string, title string, meta_description string, h1 string, headings array<string>,
@@ -42,16 +42,41 @@ def test_site_scores_of_one_good_page(make):
     row = m.first()
     assert (row.pages, row.eligible, row.answer_first, row.schema_coverage) == (1, 1, 90.0, 100.0)
     assert row.freshness == pytest.approx(100 - 30 / 365 * 100)
-    scores = {r.score_id: r.score for r in pages.site_scores(m).collect()}
-    assert scores == {"rendering": 100.0, "answer_first": 84.0, "citation": 100.0, "schema": 90.0, "linking": 100.0, "zero_click": 95.0, "freshness": 95.1, "technical": 100.0}
-    total = sum(scores[k] * w for k, w in pages.WEIGHTS.items()) / sum(pages.WEIGHTS.values())
-    assert pages.total_score(pages.site_scores(m)).first().total == pytest.approx(total, abs=0.051)
+    scores = pages.site_scores(m, clusters.topic_clusters(make({})))
+    want = {"crawlability": 100.0, "rendering": 100.0, "answer_first": 84.0, "citation": 100.0, "schema": 90.0, "linking": 100.0, "zero_click": 95.0, "freshness": 95.1, "technical": 100.0, "clusters": 33.2}
+    assert {r.score_id: r.score for r in scores.collect()} == want
+    assert pages.total_score(scores).first().total == 89.8
+    providers = {r.provider: r.score for r in pages.provider_scores(m).collect()}
+    assert providers == {"openai": 100.0, "google": 100.0, "bing": 96.0, "perplexity": 100.0, "citation": 100.0}
+    assert pages.site_scores(m).count() == 9
+
+
+def test_findings(make, spark):
+    weak = {"answer_first_signals": BASE["answer_first_signals"] | {"direct_answer_likelihood": 10}, "date_published": None, "date_modified": None, "title": "x"}
+    df = make(*[weak | {"url": f"https://s.example/{i}"} for i in range(10)], {})
+    got = {r.issue: r for r in insights.affected_pages(df).collect()}
+    assert {k: v.pages for k, v in got.items()} == {"weak-answers": 10, "undated": 10, "thin-metadata": 10}
+    assert got["undated"].first_urls.split(" ") == [f"https://s.example/{i}" for i in range(8)]
+    metrics = pages.site_metrics(df, "2026-01-31")
+    assert {(r.issue, r.level) for r in insights.site_issues(metrics).collect()} == {("weak-answers", 3), ("undated", 2)}
+    after = {r.metric: (r.before, r.after) for r in insights.what_if(df, "2026-01-31").collect()}
+    assert after["answer_first"][1] > after["answer_first"][0] and after["dated_share"][1] == 100.0
+    both = make(*[weak | {"crawl_seq": i} for i in range(2)], {"run_id": "other", "crawl_seq": 0})
+    gaps = {(r.run_id, r.gap) for r in insights.site_gaps(pages.site_metrics(both, "2026-01-31"), both).collect()}
+    assert gaps == {("r", "answer_first"), ("r", "freshness")}
+    assert insights.markdown_lists(insights.affected_pages(df), "run_id", "issue", "first_urls").first().text.startswith("## thin-metadata\n- https://s.example/0")
+
+
+def test_small_functions(spark):
+    assert insights.axis_labels(3) == [0, 1, 2] and insights.axis_labels(10) == [0, 2, 5, 7, 9]
+    row = spark.createDataFrame([("1.2.3.4, 5.6.7.8", None, 80.0)], "f string, e string, s double").select(insights.client_key(F.col("f")).alias("a"), insights.client_key(F.col("e")).alias("b"), insights.band(F.col("s")).alias("c"), insights.path_kind(F.lit("/Kontakt")).alias("d")).first()
+    assert tuple(row) == ("1.2.3.4", "unknown", "strong", "contact")
 
 
 def test_no_eligible_page_and_nulls(make):
     nulls = {k: None for k in BASE if k not in ("run_id", "crawl_seq", "ingested_at")}
     m = pages.site_metrics(make(nulls, {"noindex": True}), "2026-01-31").first()
-    assert (m.pages, m.eligible, m.answer_first, m.schema_coverage, m.max_depth) == (2, 0, 0.0, 0.0, 1)
+    assert (m.pages, m.eligible, m.answer_first, m.schema_coverage, m.max_depth) == (2, 0, 0.0, 0.0, 0)
     flags = pages.page_flags(make(nulls)).first().asDict()
     assert [k for k, v in flags.items() if v == 1] == []
     for op in (pages.page_answers, pages.page_trust, pages.page_intents, pages.render_candidates, pages.inbound, pages.broken_links, clusters.topic_clusters):
