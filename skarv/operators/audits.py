@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarv.functions.arrow import slices
 from skarv.functions.jsonio import as_list, parse
 from skarv.functions.urls import normalize_url, url_col
 from skarv.operators.snapshots import fetch_values, replay
 from skarv.runtime import cut
 from skarv.sources.tables import latest
 
+#: Reports that are Python objects at a time in a worker.
+ROWS = 200
 #: Fields of a page that are compared; schema.types counts as a set.
 FIELDS = ("title", "metaDescription", "h1", "headings", "firstParagraph", "bodyText", "statusCode", "canonicalUrl", "noindex", "schema.types")
 
@@ -72,7 +75,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, ROWS):
         found = []
         for row in _rows(batch):
             pages = _site_pages(row)
@@ -83,7 +86,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.replace(".", "_") for f in FIELDS]
-    for batch in batches:
+    for batch in slices(batches, ROWS):
         out: dict[str, list] = {k: [] for k in ("run_id", "ingested_at", "page_url", *names)}
         for row in _rows(batch):
             for url, values in (_site_pages(row) or {}).items():

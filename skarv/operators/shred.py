@@ -15,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarv.functions.arrow import slices
 from skarv.functions.jsonio import as_list, parse
 
+#: Records that are Python objects at a time in a worker.
+ROWS = 200
+
 
 def schema_graph(df: DataFrame, column: str) -> DataFrame:
     """path, repeated, objects, values, nulls of every path in the JSON texts of `column`; one row per path.
@@ -46,7 +50,7 @@ def schema_graph(df: DataFrame, column: str) -> DataFrame:
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             for text in batch.column(0).to_pylist():
                 walk(parse(text), "", seen)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([s[i] for s in seen.values()], pa.int64()) for i in range(4)]], ["path", "lists", "objects", "vals", "nulls"])
@@ -154,7 +158,7 @@ def shred(df: DataFrame, key: str, plan: Plan, by: str | None = None, with_value
 
         for t in trees.values():
             index(t)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             offsets, codes, paths, values = [0], [], [], []
             cols = [(batch.column(c).to_pylist(), trees[c]) for c in columns]
             for i in range(batch.num_rows):
