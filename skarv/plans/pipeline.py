@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from skarv.operators.audits import audit_changes, audit_field_changes
 from skarv.operators.grid import missing_days
 from skarv.operators.metrics import COUNTS, READINGS, page_grid, page_rolling
-from skarv.operators.reports import report_elements, run_table
+from skarv.operators.reports import RELATIONS, report_elements, run_table
+from skarv.plans.pages import url_sql
 from skarv.sources.tables import table
 
 
@@ -53,4 +54,72 @@ def p7_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_grid, p4_rolling, p7_found, p7_tables, p7_runs)}
-SQL: dict[str, str] = {}
+
+
+def _json(column: str) -> str:
+    """A JSON column's value in SQL: a JSON string stands for the JSON in it; null where it can't be parsed."""
+    inner = f"json_extract_string({column}, '$')"
+    return f"CASE WHEN NOT json_valid({column}) THEN NULL WHEN json_type({column}) = 'VARCHAR' THEN CASE WHEN json_valid({inner}) THEN CAST({inner} AS JSON) END ELSE CAST({column} AS JSON) END"
+
+
+def _elements(value: str) -> str:
+    """The elements of a JSON value that is a list, one thing in place of a list, or nothing."""
+    return f"CASE WHEN {value} IS NULL OR json_type({value}) = 'NULL' THEN [] WHEN json_type({value}) = 'ARRAY' THEN json_extract({value}, '$[*]') ELSE [{value}] END"
+
+
+_RUNS = (
+    f"runs AS (SELECT id, target_url, status, completed_at, {_json('request_json')} AS request, {_json('report_json')} AS report, {_json('summary_json')} AS summary "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM audit_runs WHERE id IS NOT NULL) WHERE rn = 1)"
+)
+
+
+def _relations() -> str:
+    """One CTE per relation, each from the rows of the nearest relation above it."""
+    ctes, parts = [], []
+    for n, rel in enumerate(RELATIONS):
+        above = max((m for m, r in enumerate(RELATIONS) if rel.startswith(r + ".")), key=lambda m: len(RELATIONS[m]), default=None)
+        if above is None:
+            root = "summary" if rel.startswith("summary.") else "report"
+            name = rel.removeprefix("summary.")
+            base = f"SELECT id, '' AS above, json_extract({root}, '$.{name}') AS v FROM runs"
+        else:
+            below = rel[len(RELATIONS[above]) + 1 :]
+            base = f"SELECT id, path || '/' AS above, json_extract(v, '$.{below}') AS v FROM r{above}"
+        ctes.append(f"e{n} AS (SELECT id, above, {_elements('v')} AS items FROM ({base}))")
+        ctes.append(f"r{n} AS (SELECT id, above || i AS path, v FROM (SELECT id, above, generate_subscripts(items, 1) - 1 AS i, unnest(items) AS v FROM e{n}) WHERE json_type(v) <> 'NULL')")
+        parts.append(f"SELECT id AS run_id, '{rel}' AS rel, path AS elem_path FROM r{n}")
+    return f"WITH {_RUNS}, {', '.join(ctes)} " + " UNION ALL ".join(parts)
+
+
+def _folded(value: str) -> str:
+    return f"coalesce(trim(regexp_replace({value}, '\\s+', ' ', 'g')), '')"
+
+
+def _one_text(field: str) -> str:
+    return _folded(f"json_extract_string(p, '$.{field}')")
+
+
+def _many_texts(field: str) -> str:
+    items = _elements(f"json_extract(p, '$.{field}')")
+    text = _folded("json_extract_string(x, '$')")
+    return f"list_filter(list_transform({items}, lambda x: {text}), lambda x: x <> '')"
+
+
+def _changes() -> str:
+    plain = [_one_text(f) for f in ("title", "metaDescription", "h1", "firstParagraph", "bodyText", "statusCode", "canonicalUrl", "noindex")]
+    fields = " || chr(1) || ".join([*plain, f"array_to_string({_many_texts('headings')}, chr(2))", f"array_to_string(list_sort(list_distinct({_many_texts('schema.types')})), chr(2))"])
+    pages = _elements("json_extract(report, '$.pages')")
+    address = url_sql("json_extract_string(p, '$.url')")
+    return (
+        f"WITH {_RUNS}, snaps AS (SELECT id, {url_sql('target_url')} AS target, completed_at, report FROM runs WHERE status = 'completed' AND coalesce(json_extract_string(request, '$.mode'), 'domain') IN ('domain', '') AND json_type(report) = 'OBJECT'), "
+        "chain AS (SELECT id, lag(id) OVER (PARTITION BY target ORDER BY completed_at, id) AS prev FROM snaps), "
+        f"p AS (SELECT id, generate_subscripts(items, 1) AS i, unnest(items) AS p FROM (SELECT id, {pages} AS items FROM snaps)), "
+        f"u AS (SELECT id, {address} AS url, {fields} AS k, i FROM p WHERE json_type(json_extract(p, '$.url')) = 'VARCHAR'), "
+        "g AS (SELECT id, url, arg_min(k, i) AS k FROM u GROUP BY id, url), "
+        "new AS (SELECT c.id, g.url, g.k FROM chain c JOIN g ON g.id = c.id WHERE c.prev IS NOT NULL), old AS (SELECT c.id, g.url, g.k FROM chain c JOIN g ON g.id = c.prev) "
+        "SELECT coalesce(n.id, o.id) AS run_id, coalesce(n.url, o.url) AS page_url, CASE WHEN o.url IS NULL THEN 'added' WHEN n.url IS NULL THEN 'removed' ELSE 'changed' END AS change_kind "
+        "FROM new n FULL JOIN old o ON n.id = o.id AND n.url = o.url WHERE o.url IS NULL OR n.url IS NULL OR n.k <> o.k"
+    )
+
+
+SQL: dict[str, str] = {"p1_found": _changes(), "p7_found": _relations()}
