@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skarv.operators import runs as R
 from skarv.operators import search as S
 from skarv.plans.pages import _rounded
+from skarv.plans.pipeline import latest_report_sql, score_changes_sql
 from skarv.sources.tables import table
 
 #: The 28 days that the windowed queries look at.
@@ -238,3 +239,5 @@ def _missing(name: str, value: str, low: str, high: str) -> str:
 
 
 SQL["p2_found"] = f"WITH {counting_sql('gsc_page_daily')}, {counting_sql('ga4_landing_page_daily')} " + _missing("gsc_page_daily", "position", "1", "") + " UNION ALL " + _missing("ga4_landing_page_daily", "bounce_rate", "0", "1")
+SQL["latest_report"] = latest_report_sql()
+SQL["score_changes"] = score_changes_sql()

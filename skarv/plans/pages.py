@@ -319,3 +319,66 @@ def what_if(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def issue_lists(spark: SparkSession, d: str) -> DataFrame:
     return I.markdown_lists(I.affected_pages(_snap(spark, d)), "run_id", "issue", "first_urls")
+
+
+# SQL of the text scores
+def _answers() -> str:
+    words = ", ".join(f"'{w}'" for w in P.QUESTION_WORDS)
+    starts = " OR ".join(f"starts_with(h, '{w}')" for w in P.QUESTION_WORDS)
+    definition = r"regexp_matches(o, '(?i)\b(er|betyr|defineres som|means|is|refers to|stands for)\b')"
+    boilerplate = P.BOILERPLATE_WORDS.removeprefix("(?iu)")
+    return (
+        f"WITH {PAGES}, a AS (SELECT run_id, crawl_seq, trim(coalesce(first_paragraph, '')) AS o, lower(coalesce(h1, '')) AS h, lower(headings[1]) AS g, left(coalesce(body_text, ''), 500) AS b FROM pages), "
+        rf"w AS (SELECT *, len(list_filter(string_split_regex(o, '\s+'), lambda x: length(x) > 2)) AS n, list_filter(string_split_regex(regexp_replace(h, '[?!.,]', '', 'g'), '\s+'), lambda x: length(x) > 2 AND x NOT IN ({words}))[1:3] AS topic, "
+        f"({starts} OR suffix(h, '?') OR coalesce(suffix(g, '?'), false)) AS asks, length(o) > 20 AND {definition} AS defines, "
+        r"regexp_matches(o, '(?i)\d\s*(%|kr|nok|usd|eur|gbp|months?|days?|weeks?|prosent|percent|million|billion|milliard)|\d\d') AS numbers, regexp_matches(b, '(^|\s)([-•*]|\d+[.)])\s') AS listed FROM a), "
+        "r AS (SELECT *, CASE WHEN len(topic) > 0 THEN CAST(len(list_filter(topic, lambda x: contains(lower(o), x))) AS DOUBLE) / len(topic) ELSE 0 END AS ratio, "
+        r"CAST(CASE WHEN length(o) < 40 THEN 0 WHEN regexp_matches(lower(o), '^(it|this|that|these|those|den|det|dette|disse|de|her|here)\b') THEN 0.2 "
+        f"WHEN regexp_matches(o, '(?i){boilerplate}') THEN 0.1 ELSE least(1.0, (CASE WHEN length(o) BETWEEN 60 AND 350 THEN 0.4 WHEN length(o) > 350 THEN 0.2 ELSE 0.3 END) + (CASE WHEN n >= 5 THEN 0.6 WHEN n >= 3 THEN 0.3 ELSE 0 END)) END AS DOUBLE) AS standalone FROM w), "
+        f"q AS (SELECT *, CAST(CASE WHEN NOT asks THEN 0.5 WHEN len(topic) = 0 THEN 0.4 WHEN ratio >= 0.6 AND {definition} THEN 1 WHEN ratio >= 0.4 THEN 0.7 WHEN ratio >= 0.2 THEN 0.4 ELSE 0.1 END AS DOUBLE) AS question FROM r) "
+        "SELECT run_id, crawl_seq, defines, numbers, round(standalone, 6) AS standalone, round(question, 6) AS question, listed, CAST(least(100, floor((CASE WHEN defines THEN 28 ELSE 0 END) + (CASE WHEN numbers THEN 18 ELSE 0 END) + standalone * 20 + question * 20 + (CASE WHEN listed THEN 14 ELSE 0 END) + 0.5)) AS INT) AS score FROM q"
+    )
+
+
+def _trust() -> str:
+    cited = " OR ".join(f"contains(x, '{a}')" for a in P.AUTHORITIES)
+    person = r"(?i)\b(jeg\s+(testet|prøvde|erfarte|opplevde|brukte|anbefaler)|vi\s+(testet|prøvde|erfarte|brukte|anbefaler|har|opplevde)|i\s+(tested|tried|experienced|used|recommend|found|noticed|learned)|we\s+(tested|tried|found|used|recommend|experienced))\b"
+    signals = {
+        "first_person": f"regexp_matches(coalesce(body_text, ''), '{person}')",
+        "examples": r"coalesce(word_count > 200, false) AND regexp_matches(coalesce(body_text, ''), '(?i)\b(\d{4}|\d+\s*(kr|%|prosent|timer|uker|måneder))')",
+        "media": "coalesce(image_count > 0 AND images_without_alt < image_count, false) OR coalesce(has_transcript_signals, false)",
+        "byline": "coalesce(author <> '', false)",
+        "citations": f"len(list_filter(coalesce(external_links, []), lambda x: coalesce({cited}, false))) > 0",
+        "terminology": r"len(regexp_extract_all(coalesce(body_text, ''), '\b[A-Za-z0-9_]{9,}\b')) >= 5",
+        "about": "coalesce(has_about_link, false)",
+        "organization": "coalesce(list_contains(schema.types, 'Organization') OR list_contains(schema.types, 'LocalBusiness'), false)",
+        "breadcrumb": "coalesce(list_contains(schema.types, 'BreadcrumbList'), false)",
+        "contact": "coalesce(has_contact_link, false)",
+        "privacy": r"len(list_filter(list_concat(coalesce(external_links, []), coalesce(internal_links, [])), lambda x: coalesce(regexp_matches(x, '(?i)person(vern|data)|privacy\s*policy|cookie\s*(policy|settings)|gdpr|informasjonskapsler'), false))) > 0",
+        "https": "coalesce(starts_with(url, 'https://'), false)",
+        "canonical": "coalesce(canonical_url <> '', false)",
+        "published": "date_published IS NOT NULL",
+        "modified": "date_modified IS NOT NULL",
+    }
+    depth = "CAST(floor(least(40.0, CAST(coalesce(word_count, 0) AS DOUBLE) / 1000 * 40) + least(20.0, CAST(coalesce(len(headings), 0) AS DOUBLE) / 5 * 20) + least(20.0, CAST(coalesce(list_count, 0) + coalesce(table_count, 0) * 2 AS DOUBLE) / 5 * 20) + least(20.0, coalesce(faq_count, 0) * 10.0) + 0.5) AS BIGINT)"
+    extra = {"expertise": " + CAST(depth AS DOUBLE) * CAST(0.3 AS DOUBLE)", "authority": " + least(30, coalesce(inbound_links, 0) * 3)"}
+    groups = []
+    for name, (weight, points) in P.TRUST_POINTS.items():
+        total = " + ".join(f"{s} * {p}" for s, p in points.items()) + extra.get(name, "")
+        groups.append(f"least(100, {total}) * CAST({weight} AS DOUBLE)")
+    cols = ", ".join(f"CAST(({v}) AS INT) AS {k}" for k, v in signals.items())
+    return f"trust AS (SELECT * EXCLUDE (inbound_links), CAST(least(100, floor({' + '.join(groups)} + 0.5)) AS INT) AS composite FROM (SELECT run_id, crawl_seq, inbound_links, {depth} AS depth, {cols} FROM pages))"
+
+
+_SIGNALS = [s for _, points in P.TRUST_POINTS.values() for s in points]
+SQL["answer_quality"] = _answers()
+SQL["page_trust"] = f"WITH {PAGES}, {_trust()} SELECT * FROM trust"
+_share = "CAST(floor(avg(CASE WHEN {} THEN 100.0 ELSE 0.0 END) + 0.5) AS BIGINT)"
+SQL["run_trust"] = (
+    f"WITH {PAGES}, {_trust()} SELECT run_id, count(*) AS pages, CAST(floor(avg(composite) + 0.5) AS BIGINT) AS average, {_share.format('byline = 1')} AS author_share, {_share.format('citations = 1')} AS citation_share, "
+    f"{_share.format('https = 1 AND canonical = 1 AND contact = 1')} AS trust_share FROM trust GROUP BY run_id"
+)
+SQL["trust_gaps"] = (
+    f"WITH {PAGES}, {_trust()}, gaps AS (" + " UNION ALL ".join(f"SELECT run_id, '{s}' AS gap FROM trust WHERE {s} = 0" for s in _SIGNALS) + "), n AS (SELECT run_id, gap, count(*) AS pages FROM gaps GROUP BY ALL) "
+    "SELECT run_id, gap, pages, CAST(rank_no AS INT) AS rank_no FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pages DESC, gap) AS rank_no FROM n) WHERE rank_no <= 3"
+)

@@ -123,3 +123,20 @@ def _changes() -> str:
 
 
 SQL: dict[str, str] = {"p1_found": _changes(), "p7_found": _relations()}
+SQL["p7_runs"] = f"WITH {_RUNS.replace('status, completed_at,', 'status, error_message, created_at, started_at, heartbeat_at, completed_at,')} SELECT id AS run_id, target_url, status, error_message, created_at, started_at, heartbeat_at, completed_at FROM runs"
+
+
+def latest_report_sql() -> str:
+    """Of each page the last run of its target whose report has it."""
+    head = _changes().partition("new AS (")[0].replace("lag(id) OVER (PARTITION BY target ORDER BY completed_at, id) AS prev", "row_number() OVER (PARTITION BY target ORDER BY completed_at, id) AS seq")
+    return head.rstrip(", ") + " SELECT g.url AS page_url, max({'s': c.seq, 'i': c.id}).i AS run_id FROM g JOIN chain c ON c.id = g.id GROUP BY g.url"
+
+
+def score_changes_sql() -> str:
+    """Category scores of summaries against the run before of the same target."""
+    return (
+        f"WITH {_RUNS}, x AS (SELECT id, unnest({_elements('j')}) AS v FROM (SELECT id, json_extract(summary, '$.categoryScores') AS j FROM runs)), "
+        "s AS (SELECT id AS run_id, json_extract_string(v, '$.id') AS score_id, max(CAST(json_extract(v, '$.score') AS DOUBLE)) AS score FROM x WHERE json_type(v) = 'OBJECT' GROUP BY ALL), "
+        f"c AS (SELECT id AS run_id, lag(id) OVER (PARTITION BY {url_sql('target_url')} ORDER BY completed_at, id) AS prev FROM runs WHERE status = 'completed') "
+        "SELECT s.run_id, s.score_id, s.score, p.score AS before, CASE WHEN c.prev IS NULL THEN 0 ELSE round(s.score - coalesce(p.score, 0), 1) END AS change FROM s JOIN c USING (run_id) LEFT JOIN s p ON p.run_id = c.prev AND p.score_id = s.score_id"
+    )
