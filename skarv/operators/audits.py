@@ -6,13 +6,13 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarv.functions.arrow import slices
 from skarv.functions.jsonio import as_list, parse
 from skarv.functions.urls import normalize_url, url_col
-from skarv.operators.snapshots import fetch_values, replay
+from skarv.operators.snapshots import chain, fetch_values, replay
 from skarv.runtime import cut
 from skarv.sources.tables import latest
 
@@ -110,9 +110,8 @@ def audit_index(audit_runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     indexed = src.mapInArrow(_index, f"id string, target_url string, completed_at {times['completed_at']}, ingested_at {times['ingested_at']}, pages array<struct<page_url:string,hash:binary>>")
     counted = cut(latest(indexed, ["id"], ["target_url", "completed_at", "pages"]).filter(F.col("pages").isNotNull()), "audit-index")
     target = url_col(F.col("target_url"))
-    order = Window.partitionBy("target").orderBy(F.col("completed_at").asc_nulls_first(), "run_id")
-    runs = counted.select(F.col("id").alias("run_id"), target.alias("target"), "completed_at")
-    runs = runs.select("run_id", "target", F.row_number().over(order).alias("seq"), F.lag("run_id").over(order).alias("prev_run_id"), F.lead("run_id").over(order).alias("next_run_id"))
+    runs = chain(counted.select(F.col("id").alias("run_id"), target.alias("target"), "completed_at"), "target", "completed_at", "run_id")
+    runs = runs.withColumnsRenamed({"prev_id": "prev_run_id", "next_id": "next_run_id"})
     rows = counted.select(F.col("id").alias("run_id"), F.inline("pages"))
     return runs, rows
 

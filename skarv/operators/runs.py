@@ -76,8 +76,8 @@ def latest_report_with(audit_runs: DataFrame) -> DataFrame:
     """page_url, run_id: of each page the newest completed run whose report has it."""
     from skarv.operators.audits import audit_index
 
-    chain, rows = audit_index(audit_runs)
-    return rows.join(chain.select("run_id", "seq", "target"), "run_id").groupBy("page_url").agg(F.max_by("run_id", F.struct("seq", "run_id")).alias("run_id"))
+    snapshots, rows = audit_index(audit_runs)
+    return rows.join(snapshots.select("run_id", "completed_at"), "run_id").groupBy("page_url").agg(F.max_by("run_id", F.struct("completed_at", "run_id")).alias("run_id"))
 
 
 def week_start(day: Column) -> Column:

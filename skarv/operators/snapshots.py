@@ -13,27 +13,45 @@ Two ways to run it:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarv.runtime import remove
 
 
+def chain(df: DataFrame, group: str, at: str, id_column: str) -> DataFrame:
+    """df with prev_id and next_id: the ids before and after in `group`, in order of `at` (null first), then id.
+
+    A group may hold a third of all rows, so it is ordered in two steps: within each of its days, and over the first and last
+    ids of its days, of which a group has no more than the calendar. Null groups form one.
+    """
+    order = [F.col(at).asc_nulls_first(), F.col(id_column)]
+    dated = df.withColumn("_day", F.to_date(at))
+    within = Window.partitionBy(group, "_day").orderBy(*order)
+    rows = dated.withColumns({"_prev": F.lag(id_column).over(within), "_next": F.lead(id_column).over(within)})
+    key = F.struct(at, id_column)
+    days = dated.groupBy(group, "_day").agg(F.min_by(id_column, key).alias("_first"), F.max_by(id_column, key).alias("_last"))
+    over = Window.partitionBy(group).orderBy(F.col("_day").asc_nulls_first())
+    days = days.select(F.col(group).alias("_g"), F.col("_day").alias("_d"), F.lag("_last").over(over).alias("_before"), F.lead("_first").over(over).alias("_after"))
+    both = rows.join(days, rows[group].eqNullSafe(days["_g"]) & rows["_day"].eqNullSafe(days["_d"]))
+    return both.select(*df.columns, F.coalesce("_prev", "_before").alias("prev_id"), F.coalesce("_next", "_after").alias("next_id"))
+
+
 def replay(rows: DataFrame, runs: DataFrame, key: str = "page_url") -> DataFrame:
     """Changes between each snapshot and the one before it of the same target.
 
-    rows: run_id, `key`, hash – one row per key and snapshot. runs: run_id, target, seq – seq counts a target's snapshots
-    from 1 without gaps – and next_run_id (null for the last). Result: run_id (the later run), `key`, change_kind, and
+    rows: run_id, `key`, hash – one row per key and snapshot. runs: run_id, prev_run_id (null for the first of its target) and
+    next_run_id (null for the last). Result: run_id (the later run), `key`, change_kind, and
     prev_run_id. The first snapshot of a target gives no rows. A snapshot without any row still counts: then
     all pages of the one before are removed.
     """
-    tagged = rows.join(runs.select("run_id", "target", "seq", "next_run_id", "prev_run_id"), "run_id")
+    tagged = rows.join(runs.select("run_id", "next_run_id", "prev_run_id"), "run_id")
     # One scan: each row is put out as the probe of its own generation and as the index entry for the next one.
     both = tagged.select(
         F.explode(
             F.array_compact(
                 F.array(
-                    F.when(F.col("seq") > 1, F.struct(F.col("run_id").alias("run"), F.col("prev_run_id").alias("prev"), F.col("hash").alias("new"), F.lit(None).cast(rows.schema["hash"].dataType).alias("old"))),
+                    F.when(F.col("prev_run_id").isNotNull(), F.struct(F.col("run_id").alias("run"), F.col("prev_run_id").alias("prev"), F.col("hash").alias("new"), F.lit(None).cast(rows.schema["hash"].dataType).alias("old"))),
                     F.when(F.col("next_run_id").isNotNull(), F.struct(F.col("next_run_id").alias("run"), F.col("run_id").alias("prev"), F.lit(None).cast(rows.schema["hash"].dataType).alias("new"), F.col("hash").alias("old"))),
                 )
             )

@@ -127,8 +127,8 @@ SQL["p7_runs"] = f"WITH {_RUNS.replace('status, completed_at,', 'status, error_m
 
 
 def latest_report_sql() -> str:
-    """Of each page the last run of its target whose report has it."""
-    head = _changes().partition("new AS (")[0].replace("lag(id) OVER (PARTITION BY target ORDER BY completed_at, id) AS prev", "row_number() OVER (PARTITION BY target ORDER BY completed_at, id) AS seq")
+    """Of each page the last run whose report has it."""
+    head = _changes().partition("new AS (")[0].replace("lag(id) OVER (PARTITION BY target ORDER BY completed_at, id) AS prev", "completed_at AS seq")
     return head.rstrip(", ") + " SELECT g.url AS page_url, max({'s': c.seq, 'i': c.id}).i AS run_id FROM g JOIN chain c ON c.id = g.id GROUP BY g.url"
 
 

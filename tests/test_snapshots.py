@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from skarv.operators.audits import audit_changes, audit_field_changes
-from skarv.operators.snapshots import SnapshotIndex
+from skarv.operators.snapshots import SnapshotIndex, chain
 
 DDL = "id string, target_url string, status string, request_json string, summary_json string, report_json string, completed_at timestamp_ntz, ingested_at timestamp_ntz, hash string, pages string"
 
@@ -113,3 +113,13 @@ def test_index_advances(spark, tmp_path):
     assert got == set()
     assert index.current().count() == 3
     assert index.current().select(F.countDistinct("bucket")).first()[0] >= 1
+
+
+def test_chain_in_two_steps(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["hot", "hot", "b", None]), rnd.choice([None, dt.datetime(2026, 1, rnd.randint(1, 4), rnd.randint(0, 23))]), f"{i:03}") for i in range(120)]
+    got = {r.id: (r.prev_id, r.next_id) for r in chain(spark.createDataFrame(rows, "g string, at timestamp_ntz, id string"), "g", "at", "id").collect()}
+    for g in ("hot", "b", None):
+        ids = [i for _, _, i in sorted([r for r in rows if r[0] == g], key=lambda r: (r[1] is not None, r[1] or dt.datetime.min, r[2]))]
+        for k, i in enumerate(ids):
+            assert got[i] == (ids[k - 1] if k else None, ids[k + 1] if k + 1 < len(ids) else None)
