@@ -183,6 +183,7 @@ def answer_quality() -> Column:
     opening = F.trim(F.coalesce("first_paragraph", F.lit("")))
     low = F.lower(opening)
     n = F.length(opening)
+    # fixed values: units, pronouns, lengths and points
     defines = (n > 20) & opening.rlike(DEFINITION)
     numbers = opening.rlike(r"(?iu)\d\s*(%|kr|nok|usd|eur|gbp|months?|days?|weeks?|prosent|percent|million|billion|milliard)|\d\d")
     size_part = F.when((n >= 60) & (n <= 350), 0.4).when(n > 350, 0.2).otherwise(0.3)
@@ -235,6 +236,7 @@ def run_intents(page_snapshots: DataFrame) -> DataFrame:
 def render_priority() -> Column:
     """How much a page gains from rendering: little text and many scripts, weighted by the kind of path."""
     text, scripts, path = F.coalesce("rendering.raw_text_length", F.lit(0)), F.coalesce("script_count", F.lit(0)), F.coalesce("path", F.lit(""))
+    # fixed values: points by text length, scripts and kind of path
     little = F.when(text < 200, 40).when(text < 500, 20).when(text < 1000, 5).otherwise(0)
     many = F.when(scripts > 10, 30).when(scripts > 5, 15).when(scripts > 3, 5).otherwise(0)
     kind = (
@@ -283,6 +285,7 @@ def trust_signals() -> dict[str, Column]:
     every = F.concat(links, F.coalesce("internal_links", F.array().cast("array<string>")))
     body = F.coalesce("body_text", F.lit(""))
     cited = F.exists(links, lambda x: reduce(lambda a, b: a | b, [x.contains(a) for a in AUTHORITIES]))
+    # fixed values: first-person phrases, units of examples, words of privacy links
     person = f"(?iu){LEFT}(jeg\\s+(testet|prøvde|erfarte|opplevde|brukte|anbefaler)|vi\\s+(testet|prøvde|erfarte|brukte|anbefaler|har|opplevde)|i\\s+(tested|tried|experienced|used|recommend|found|noticed|learned)|we\\s+(tested|tried|found|used|recommend|experienced)){RIGHT}"
     types = F.coalesce("schema.types", F.array().cast("array<string>"))
     has = lambda *t: reduce(lambda a, b: a | b, [yes(F.array_contains(types, x)) for x in t])
