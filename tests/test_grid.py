@@ -99,3 +99,10 @@ def test_state_carries_on_and_corrects(spark, tmp_path):
             if any(sums):
                 want[s] = sums
         assert {r.s: (r.n_sum_2, r.n_sum_3) for r in state.state(str(d(t))).collect()} == want
+
+
+def test_rolling_ignores_other_columns_and_repeated_names(spark):
+    df = spark.createDataFrame([("a", d(0), 1, "x", 5), ("a", d(2), 2, "y", 6)], "s string, date date, n bigint, _next string, _of int")
+    got = rolling_totals(df, ["s"], ["n"], (2,))
+    assert got.columns == ["s", "date", "n_sum_2", "n_avg_2"]
+    assert [r.n_sum_2 for r in got.orderBy("date").collect()] == [1, 1, 2]
