@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarv.functions import labels as B
 from skarv.functions import text as T
 from skarv.functions.urls import host_col, url_col
 from skarv.operators import clusters as C
@@ -382,3 +383,24 @@ SQL["trust_gaps"] = (
     f"WITH {PAGES}, {_trust()}, gaps AS (" + " UNION ALL ".join(f"SELECT run_id, '{s}' AS gap FROM trust WHERE {s} = 0" for s in _SIGNALS) + "), n AS (SELECT run_id, gap, count(*) AS pages FROM gaps GROUP BY ALL) "
     "SELECT run_id, gap, pages, CAST(rank_no AS INT) AS rank_no FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pages DESC, gap) AS rank_no FROM n) WHERE rank_no <= 3"
 )
+
+
+@query(
+    f"WITH {PAGES} SELECT run_id, crawl_seq, coalesce(CASE WHEN trim(publisher) <> '' THEN trim(publisher) END, CASE WHEN trim(author) <> '' THEN trim(author) END, upper(left(b, 1)) || substring(b, 2)) AS brand, "
+    f"CASE WHEN stamp IS NOT NULL THEN round(greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(stamp)) / 86400000000.0), 6) END AS age, "
+    "CASE WHEN regexp_matches(hay, 'pris|priser|bestill|booking|book|reservasjon|kontakt') THEN 'transactional' WHEN regexp_matches(hay, 'vs|beste|alternativ|sammenlign|review|hva bør du velge') THEN 'commercial investigation' ELSE 'informational' END AS intent, "
+    "CASE WHEN level >= 4 THEN 'critical' WHEN level >= 3 THEN 'high' WHEN level >= 2 THEN 'medium' ELSE 'low' END AS priority, outside "
+    f"FROM (SELECT *, regexp_extract(regexp_replace({_HOST}, '^www\\.', ''), '^([^.]+)', 1) AS b, coalesce(date_modified, date_published) AS stamp, lower(coalesce(path, '') || ' ' || coalesce(title, '')) AS hay, coalesce(click_depth, 0) AS level, "
+    "len(list_filter(coalesce(internal_links, []), lambda x: lower(regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) <> lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)))) AS outside FROM pages WHERE url IS NOT NULL)"
+)
+def page_labels(spark: SparkSession, d: str) -> DataFrame:
+    pages = P.counting(_snap(spark, d), ["url", "publisher", "author", "date_modified", "date_published", "path", "title", "click_depth", "internal_links"]).filter(F.col("url").isNotNull())
+    links = F.coalesce("internal_links", F.array().cast("array<string>"))
+    return pages.select(
+        *P.KEYS,
+        B.brand_name(F.col("publisher"), F.col("author"), F.col("url")).alias("brand"),
+        F.round(B.days_since(F.coalesce("date_modified", "date_published"), AS_OF), 6).alias("age"),
+        B.search_intent(F.coalesce("path", F.lit("")), F.coalesce("title", F.lit(""))).alias("intent"),
+        B.priority(F.coalesce("click_depth", F.lit(0))).alias("priority"),
+        F.size(F.filter(links, lambda x: ~B.same_host(x, F.col("url")))).cast("long").alias("outside"),
+    )

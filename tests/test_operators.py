@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from skarv.functions import labels
 from skarv.functions import text as T
 from skarv.functions.unicode import slug_of, tokens_of
 from skarv.operators import clusters, insights, pages, runs, search
@@ -157,3 +158,14 @@ def test_text(spark):
     assert tokens_of("Måler åpningstider, ny-tt") == ["ler", "pningstider", "ny-tt"]
     assert one(search.on_brand(c, F.array(F.lit("acme")), F.array(F.lit("boats"))), "boat hire") and not one(search.on_brand(c, F.array(F.lit("acme")), F.array(F.lit("xy"))), "boat hire")
     assert one(runs.progress_percent(c, F.lit(5), F.lit(10)), "crawling") == 39 and one(runs.progress_percent(c, F.lit(5), F.lit(0)), "completed") == 100
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([("2026-01-02 03:04:05", "20260102", "no date", 20.0, 40, "https://www.acme.example/")], "a string, b string, c string, e double, p int, u string")
+    row = df.select(
+        labels.iso_stamp(F.col("a")).alias("a"), labels.iso_stamp(F.col("b")).alias("b"), labels.iso_stamp(F.col("c")).alias("c"), labels.seconds_left(F.col("e"), F.col("p")).alias("s"),
+        labels.clamp_days(F.lit(3)).alias("d"), labels.clamp_days(F.lit(None).cast("int")).alias("n"), labels.brand_name(F.lit(" "), F.lit(None), F.col("u")).alias("brand"), labels.same_host(F.col("u"), F.lit("https://acme.example/")).alias("h"),
+    ).first()
+    assert tuple(row) == ("2026-01-02T03:04:05.000Z", "2026-01-02T00:00:00.000Z", None, 30, 7, 90, "Acme", False)
+    rows = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
+    assert labels.where_all(rows, k="a", v=None).count() == 1 and labels.where_all(rows).count() == 2
