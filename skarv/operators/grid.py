@@ -2,7 +2,7 @@
 
 The matrix has one row per series and one column per day. A cell's estimate is the series' mean plus the product of a
 series factor and a day factor of rank `rank`. Day factors are as many as there are calendar days between the first and last
-reading of all series (checked against MAX_DAYS), so they can be sent to every task; series are never gathered anywhere.
+reading of all series, but no more than MAX_DAYS, so they can be sent to every task; series are never gathered anywhere.
 Observed cells keep their reading to the bit. Cells whose series or day has too few readings to tell its factors stay marked.
 """
 
@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skarv.functions.arrow import slices
 from skarv.runtime import cut
 
-#: 200 years of days: factors of that many days and rank 8 are under 5 MB. More is refused.
+#: 200 years of days: factors of that many days and rank 8 are under 5 MB. Days further away from most series have no factors.
 MAX_DAYS = 73_050
+#: Series whose grids a worker makes at a time.
+ROWS = 500
 
 
 def readings(df: DataFrame, keys: list[str], date: str, value: str, low: float, high: float | None) -> DataFrame:
@@ -44,6 +47,11 @@ def _series_step(days: np.ndarray, values: np.ndarray, starts: np.ndarray, facto
     return means, _solve(outer, right, counts, ridge), rest
 
 
+def _index(days: np.ndarray, n_days: int) -> np.ndarray:
+    """Days as factor rows; those outside the calendar have the last row, which is zero."""
+    return np.where((days >= 0) & (days < n_days), days, n_days)
+
+
 def _packed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lists = batch.column("cells")
     offsets = lists.offsets.to_numpy()
@@ -62,7 +70,8 @@ def als_factors(packed: DataFrame, n_days: int, rank: int, iterations: int, ridg
     # smooth starting shapes: a trend and waves of a week, a month, a quarter
     waves = [(t - n_days / 2) / max(n_days, 1)] + [f(2 * np.pi * t / p) for p in (7.0, 30.4, 91.3, 365.25) for f in (np.sin, np.cos)]
     factors = np.hstack(waves)[:, :rank] + rng.normal(0, 0.05, (n_days, min(rank, len(waves))))
-    support = np.zeros(n_days, np.int64)
+    factors = np.vstack([factors, np.zeros((1, factors.shape[1]))])  # the row of days outside
+    support = np.zeros(n_days + 1, np.int64)
     for _ in range(iterations):
 
         def sums(batches: Iterator[pa.RecordBatch], factors: np.ndarray = factors) -> Iterator[pa.RecordBatch]:
@@ -72,10 +81,11 @@ def als_factors(packed: DataFrame, n_days: int, rank: int, iterations: int, ridg
                 if not batch.num_rows:
                     continue
                 days, values, starts = _packed(batch)
+                days = _index(days, n_days)
                 _, u, rest = _series_step(days, values, starts, factors, ridge)
                 counts = np.diff(np.append(starts, len(values)))
                 fit = counts >= min_support
-                keep = np.repeat(fit, counts)
+                keep = np.repeat(fit, counts) & (days < n_days)
                 d, r, each = days[keep], rest[keep], np.repeat(u, counts, axis=0)[keep]
                 n += np.bincount(d, minlength=n_days)
                 for i in range(k):
@@ -99,7 +109,7 @@ def als_factors(packed: DataFrame, n_days: int, rank: int, iterations: int, ridg
         at, n = got[:, 0].astype(int), got[:, 1]
         new = np.zeros_like(factors)
         new[at] = _solve(got[:, 2 + k :].reshape(-1, k, k), got[:, 2 : 2 + k], n, ridge)
-        support = np.zeros(n_days, np.int64)
+        support = np.zeros(n_days + 1, np.int64)
         support[at] = n
         factors = new
     return factors, support
@@ -112,36 +122,37 @@ def regular_grid(readings: DataFrame, keys: list[str], low: float, high: float |
     filled (an estimate, kept within low..high), unsupported (value null: the series has under min_series readings or the day
     under min_day series). A series with one reading gives one row; an empty table none. Null keys form series like any other.
     Runs a job for the date span, one to pack the series and one per iteration. A series' cells are packed into one row: at
-    most one per calendar day, so the row is bounded by MAX_DAYS. Estimates may differ in the last digits between runs, as sums
+    most one per calendar day. Days more than MAX_DAYS away from most series have no factors and are unsupported. Estimates may differ in the last digits between runs, as sums
     are added in another order; dates and states don't.
     """
     spark = readings.sparkSession
     packed = cut(readings.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.datediff("date", F.lit("1970-01-01")).alias("d"), F.col("value").alias("v")))).alias("cells")), "packed-series")
-    span = packed.agg(F.min(F.col("cells")[0]["d"]), F.max(F.element_at("cells", -1)["d"])).first()
+    span = packed.agg(F.min(F.col("cells")[0]["d"]), F.max(F.element_at("cells", -1)["d"]), F.percentile_approx(F.col("cells")[0]["d"], 0.5)).first()
     out = f"{', '.join(f'`{k}` {packed.schema[k].dataType.simpleString()}' for k in keys)}, grid array<struct<date:date,value:double,state:string>>"
     if span is None or span[0] is None:
         return spark.createDataFrame([], out).select(*keys, F.inline("grid"))
     first, n_days = span[0], span[1] - span[0] + 1
-    if n_days > MAX_DAYS:
-        raise ValueError(f"readings span {n_days} days; at most {MAX_DAYS} are supported")
+    if n_days > MAX_DAYS:  # a few dates that are far off: the calendar lies around the median series
+        first, n_days = max(first, min(span[2] - MAX_DAYS // 2, span[1] - MAX_DAYS + 1)), MAX_DAYS
     relative = packed.withColumn("cells", F.transform("cells", lambda c: F.struct((c["d"] - F.lit(first)).alias("d"), c["v"].alias("v"))))
     factors, support = als_factors(relative, n_days, rank, iterations, ridge, seed, min_series)
     top = np.inf if high is None else high
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             if not batch.num_rows:
                 continue
             days, values, starts = _packed(batch)
-            means, u, _ = _series_step(days, values, starts, factors, ridge)
+            means, u, _ = _series_step(_index(days, n_days), values, starts, factors, ridge)
             ends = np.append(starts[1:], len(values))
             lengths = days[ends - 1] - days[starts] + 1
             offsets = np.append(0, np.cumsum(lengths))
             of = np.repeat(np.arange(len(starts)), lengths)
             grid = np.arange(offsets[-1]) - offsets[of] + days[starts][of]
-            estimate = np.clip(means[of] + np.einsum("ij,ij->i", u[of], factors[grid]), low, top)
+            at = _index(grid, n_days)
+            estimate = np.clip(means[of] + np.einsum("ij,ij->i", u[of], factors[at]), low, top)
             counts = ends - starts
-            state = np.where((counts[of] >= min_series) & (support[grid] >= min_day), 1, 2)
+            state = np.where((counts[of] >= min_series) & (support[at] >= min_day), 1, 2)
             cell = np.repeat(offsets[:-1] - days[starts], counts) + days
             estimate[cell], state[cell] = values, 0
             names = pa.DictionaryArray.from_arrays(pa.array(state, pa.int8()), pa.array(["observed", "filled", "unsupported"])).cast(pa.string())

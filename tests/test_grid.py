@@ -106,3 +106,10 @@ def test_rolling_ignores_other_columns_and_repeated_names(spark):
     got = rolling_totals(df, ["s"], ["n"], (2,))
     assert got.columns == ["s", "date", "n_sum_2", "n_avg_2"]
     assert [r.n_sum_2 for r in got.orderBy("date").collect()] == [1, 1, 2]
+
+
+def test_dates_that_are_far_off(spark):
+    rows = [(f"s{i}", d(t), float(i + t), "x") for i in range(5) for t in range(0, 20, 2)] + [("far", dt.date(1, 1, 1), 1.0, "x"), ("far", dt.date(1, 1, 3), 2.0, "x"), ("late", dt.date(9999, 12, 31), 3.0, "x")]
+    got = {(r.s, r.date): r.state for r in grid(spark, rows)}
+    assert got["far", dt.date(1, 1, 2)] == "unsupported" and got["late", dt.date(9999, 12, 31)] == "observed"
+    assert got["s1", d(0)] == "observed" and len(got) == 5 * 19 + 3 + 1
