@@ -24,6 +24,6 @@ def latest(df: DataFrame, keys: list[str | Column], value_columns: list[str], by
 
 
 def latest_value(df: DataFrame, keys: list[str | Column], value: str, by: str = "ingested_at") -> DataFrame:
-    """`latest` for one column of a fixed-width type: a hash aggregate without sorting. Of equal times the result is one of them."""
-    order = F.coalesce(F.unix_micros(F.col(by).cast("timestamp")), F.lit(-(2**62)))
+    """`latest` for one column of a fixed-width type, by a time: a hash aggregate without sorting. Of equal times the result is one of them."""
+    order = F.coalesce(F.col(by), F.lit("0001-01-01 00:00:00").cast(df.schema[by].dataType))  # in its own type, whatever the time zone
     return df.groupBy(*keys).agg(F.max_by(F.col(value), order).alias(value))
