@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skarv.functions.text import round1
 from skarv.functions.unicode import tokens
 from skarv.operators.pages import FLAG_COLUMNS, KEYS, counting, flags, site_metrics, yes
+from skarv.runtime import cut
 
 
 def site_issues(metrics: DataFrame, least_answer: float = 60, least_share: float = 50) -> DataFrame:
@@ -86,11 +87,13 @@ def query_coverage(page_snapshots: DataFrame, queries: DataFrame) -> DataFrame:
     return both.select("domain", "page", "query", F.array_join(matched, " ").alias("matched"), F.array_join(missing, " ").alias("missing"), covered.alias("covered"))
 
 
-def site_gaps(metrics: DataFrame, page_snapshots: DataFrame) -> DataFrame:
+def site_gaps(metrics: DataFrame) -> DataFrame:
     """run_id, gap, own, others: where a run's site lies behind the mean of all other runs' sites by a margin.
 
-    The mean of the others comes from totals less the own value: one aggregate over runs, put beside each run as a scalar.
+    The mean of the others comes from totals less the own value: aggregates over runs, put beside each run as scalars. The metrics
+    are written once, as each scalar reads them.
     """
+    metrics = cut(metrics, "site-metrics")
     margins = {"schema_coverage": 10.0, "freshness": 10.0, "answer_first": 8.0, "eligible": 8.0}
     parts = []
     n = metrics.agg(F.count("*")).scalar()

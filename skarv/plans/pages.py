@@ -309,7 +309,7 @@ def query_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def site_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return I.site_gaps(P.site_metrics(_snap(spark, d), AS_OF), _snap(spark, d))
+    return I.site_gaps(P.site_metrics(_snap(spark, d), AS_OF))
 
 
 @query()

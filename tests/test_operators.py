@@ -63,7 +63,7 @@ def test_findings(make, spark):
     after = {r.metric: (r.before, r.after) for r in insights.what_if(df, "2026-01-31").collect()}
     assert after["answer_first"][1] > after["answer_first"][0] and after["dated_share"][1] == 100.0
     both = make(*[weak | {"crawl_seq": i} for i in range(2)], {"run_id": "other", "crawl_seq": 0})
-    gaps = {(r.run_id, r.gap) for r in insights.site_gaps(pages.site_metrics(both, "2026-01-31"), both).collect()}
+    gaps = {(r.run_id, r.gap) for r in insights.site_gaps(pages.site_metrics(both, "2026-01-31")).collect()}
     assert gaps == {("r", "answer_first"), ("r", "freshness")}
     assert insights.markdown_lists(insights.affected_pages(df), "run_id", "issue", "first_urls").first().text.startswith("## thin-metadata\n- https://s.example/0")
 
