@@ -36,15 +36,23 @@ def _solve(outer: np.ndarray, right: np.ndarray, counts: np.ndarray, ridge: floa
     return np.linalg.solve(outer + (ridge * np.maximum(counts, 1))[:, None, None] * np.eye(k), right[:, :, None])[:, :, 0]
 
 
-def _series_step(days: np.ndarray, values: np.ndarray, starts: np.ndarray, factors: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(means, factors of series, residuals) of packed series; starts: where each series begins."""
+def _held_out(days: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """About a tenth of the cells, the same ones in every pass."""
+    place = np.arange(len(days)) - np.repeat(starts, np.diff(np.append(starts, len(days))))
+    mixed = (days.astype(np.uint64) * np.uint64(2654435761) + place.astype(np.uint64) * np.uint64(40503)) >> np.uint64(7)
+    return mixed % np.uint64(10) == 0
+
+
+def _series_step(days: np.ndarray, values: np.ndarray, starts: np.ndarray, factors: np.ndarray, ridge: float, scale: float, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(means, factors of series, residuals over scale, used cells) of packed series, from the cells in use; starts: where each begins."""
     counts = np.diff(np.append(starts, len(values)))
-    means = np.add.reduceat(values, starts) / counts
-    rest = values - np.repeat(means, counts)
-    v = factors[days]
+    used = np.add.reduceat(use.astype(np.int64), starts)
+    means = np.add.reduceat(np.where(use, values, 0.0), starts) / np.maximum(used, 1)
+    rest = (values - np.repeat(means, counts)) / scale
+    v = factors[days] * use[:, None]
     outer = np.add.reduceat(v[:, :, None] * v[:, None, :], starts, axis=0)
     right = np.add.reduceat(v * rest[:, None], starts, axis=0)
-    return means, _solve(outer, right, counts, ridge), rest
+    return means, _solve(outer, right, used, ridge), rest, used
 
 
 def _index(days: np.ndarray, n_days: int) -> np.ndarray:
@@ -59,11 +67,12 @@ def _packed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cells.field("d").to_numpy(zero_copy_only=False), cells.field("v").to_numpy(zero_copy_only=False), (offsets[:-1] - offsets[0]).astype(np.int64)
 
 
-def als_factors(packed: DataFrame, n_days: int, rank: int, iterations: int, ridge: float, seed: int, min_support: int) -> tuple[np.ndarray, np.ndarray]:
-    """(day factors, readings per day) by alternating least squares; runs one job per iteration.
+def als_factors(packed: DataFrame, n_days: int, rank: int, iterations: int, ridge: float, seed: int, min_support: int, scale: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(day factors, readings per day, trust) by alternating least squares; runs one job per iteration and one for trust.
 
     A job solves every series against the day factors and adds up the days' normal equations, first within a task, then over
-    tasks; the driver gets n_days rows of rank*(rank+3)/2+1 numbers.
+    tasks; the driver gets n_days rows of 1 + rank + rank squared numbers. A tenth of the cells is held out: trust (0..1) is how far
+    the factors' part of their residuals is to be believed, by least squares. Readings without a common shape get 0.
     """
     rng = np.random.default_rng(seed)
     t = np.arange(n_days)[:, None]
@@ -72,47 +81,63 @@ def als_factors(packed: DataFrame, n_days: int, rank: int, iterations: int, ridg
     factors = np.hstack(waves)[:, :rank] + rng.normal(0, 0.05, (n_days, min(rank, len(waves))))
     factors = np.vstack([factors, np.zeros((1, factors.shape[1]))])  # the row of days outside
     support = np.zeros(n_days + 1, np.int64)
-    for _ in range(iterations):
+    k = factors.shape[1]
 
-        def sums(batches: Iterator[pa.RecordBatch], factors: np.ndarray = factors) -> Iterator[pa.RecordBatch]:
-            k = factors.shape[1]
-            outer, right, n = np.zeros((n_days, k, k)), np.zeros((n_days, k)), np.zeros(n_days)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+    def steps(batches: Iterator[pa.RecordBatch], factors: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Days, residuals, series factors by cell, cells of well-read series within the calendar, held-out cells."""
+        for batch in batches:
+            if batch.num_rows:
                 days, values, starts = _packed(batch)
                 days = _index(days, n_days)
-                _, u, rest = _series_step(days, values, starts, factors, ridge)
+                held = _held_out(days, starts)
+                _, u, rest, used = _series_step(days, values, starts, factors, ridge, scale, ~held)
                 counts = np.diff(np.append(starts, len(values)))
-                fit = counts >= min_support
-                keep = np.repeat(fit, counts) & (days < n_days)
-                d, r, each = days[keep], rest[keep], np.repeat(u, counts, axis=0)[keep]
+                yield days, rest, np.repeat(u, counts, axis=0), np.repeat(used >= min_support, counts) & (days < n_days), held
+
+    for _ in range(iterations):
+
+        def sums(batches: Iterator[pa.RecordBatch], factors: np.ndarray = factors) -> Iterator[pa.RecordBatch]:
+            outer, right, n, seen = np.zeros((n_days, k, k)), np.zeros((n_days, k)), np.zeros(n_days), np.zeros(n_days)
+            for days, rest, each, fit, held in steps(batches, factors):
+                seen += np.bincount(days[fit], minlength=n_days)
+                fit = fit & ~held
+                d, r, each = days[fit], rest[fit], each[fit]
                 n += np.bincount(d, minlength=n_days)
                 for i in range(k):
                     right[:, i] += np.bincount(d, each[:, i] * r, minlength=n_days)
-                    for j in range(i, k):
-                        s = np.bincount(d, each[:, i] * each[:, j], minlength=n_days)
-                        outer[:, i, j] += s
-                        if i != j:
-                            outer[:, j, i] += s
-            hit = np.flatnonzero(n)
-            flat = np.hstack([n[hit, None], right[hit], outer[hit].reshape(len(hit), k * k)])
+                    for j in range(k):
+                        outer[:, i, j] += np.bincount(d, each[:, i] * each[:, j], minlength=n_days)
+            hit = np.flatnonzero(seen)
+            flat = np.hstack([seen[hit, None], n[hit, None], right[hit], outer[hit].reshape(len(hit), k * k)])
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(list(flat), pa.list_(pa.float64()))], ["d", "s"])
 
-        k = factors.shape[1]
-        width = 1 + k + k * k
         rows = packed.mapInArrow(sums, "d int, s array<double>")
-        total = rows.groupBy("d").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)])
-        got = total.toPandas().to_numpy()
+        got = rows.groupBy("d").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(2 + k + k * k)]).toPandas().to_numpy()
         if not len(got):
-            break
-        at, n = got[:, 0].astype(int), got[:, 1]
-        new = np.zeros_like(factors)
-        new[at] = _solve(got[:, 2 + k :].reshape(-1, k, k), got[:, 2 : 2 + k], n, ridge)
+            return factors, support, 0.0
+        at = got[:, 0].astype(int)
+        factors = np.zeros_like(factors)
+        factors[at] = _solve(got[:, 3 + k :].reshape(-1, k, k), got[:, 3 : 3 + k], got[:, 2], ridge)
         support = np.zeros(n_days + 1, np.int64)
-        support[at] = n
-        factors = new
-    return factors, support
+        support[at] = got[:, 1]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, own = 0.0, 0.0
+        for days, rest, each, fit, held in steps(batches, factors):
+            cell = fit & held
+            guess = np.einsum("ij,ij->i", each[cell], factors[days[cell]])
+            both, own = both + float(guess @ rest[cell]), own + float(guess @ guess)
+        yield pa.RecordBatch.from_arrays([pa.array([both]), pa.array([own])], ["b", "o"])
+
+    b, o = packed.mapInArrow(judge, "b double, o double").agg(F.sum("b"), F.sum("o")).first()
+    return factors, support, float(np.clip(b / o, 0.0, 1.0)) if o else 0.0
+
+
+def _variance(v: Column) -> Column:
+    """Variance of a list of numbers with two or more; else null."""
+    n = F.size(v)
+    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
+    return F.when(n > 1, F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean)
 
 
 def regular_grid(readings: DataFrame, keys: list[str], low: float, high: float | None, rank: int = 3, iterations: int = 4, ridge: float = 0.05, min_series: int = 4, min_day: int = 3, seed: int = 7) -> DataFrame:
@@ -121,13 +146,14 @@ def regular_grid(readings: DataFrame, keys: list[str], low: float, high: float |
     readings: keys, date, value – one row per series and date (see `readings`). state: observed (value is the reading),
     filled (an estimate, kept within low..high), unsupported (value null: the series has under min_series readings or the day
     under min_day series). A series with one reading gives one row; an empty table none. Null keys form series like any other.
-    Runs a job for the date span, one to pack the series and one per iteration. A series' cells are packed into one row: at
+    Runs a job for the date span, one to pack the series, one per iteration and one that
+    weighs the factors on held-out cells. A series' cells are packed into one row: at
     most one per calendar day. Days more than MAX_DAYS away from most series have no factors and are unsupported. Estimates may differ in the last digits between runs, as sums
     are added in another order; dates and states don't.
     """
     spark = readings.sparkSession
     packed = cut(readings.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.datediff("date", F.lit("1970-01-01")).alias("d"), F.col("value").alias("v")))).alias("cells")), "packed-series")
-    span = packed.agg(F.min(F.col("cells")[0]["d"]), F.max(F.element_at("cells", -1)["d"]), F.percentile_approx(F.col("cells")[0]["d"], 0.5)).first()
+    span = packed.agg(F.min(F.col("cells")[0]["d"]), F.max(F.element_at("cells", -1)["d"]), F.percentile_approx(F.col("cells")[0]["d"], 0.5), F.avg(_variance(F.col("cells.v")))).first()
     out = f"{', '.join(f'`{k}` {packed.schema[k].dataType.simpleString()}' for k in keys)}, grid array<struct<date:date,value:double,state:string>>"
     if span is None or span[0] is None:
         return spark.createDataFrame([], out).select(*keys, F.inline("grid"))
@@ -135,7 +161,8 @@ def regular_grid(readings: DataFrame, keys: list[str], low: float, high: float |
     if n_days > MAX_DAYS:  # a few dates that are far off: the calendar lies around the median series
         first, n_days = max(first, min(span[2] - MAX_DAYS // 2, span[1] - MAX_DAYS + 1)), MAX_DAYS
     relative = packed.withColumn("cells", F.transform("cells", lambda c: F.struct((c["d"] - F.lit(first)).alias("d"), c["v"].alias("v"))))
-    factors, support = als_factors(relative, n_days, rank, iterations, ridge, seed, min_series)
+    scale = float(np.sqrt(span[3])) if span[3] and span[3] > 0 else 1.0
+    factors, support, trust = als_factors(relative, n_days, rank, iterations, ridge, seed, min_series, scale)
     top = np.inf if high is None else high
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +170,14 @@ def regular_grid(readings: DataFrame, keys: list[str], low: float, high: float |
             if not batch.num_rows:
                 continue
             days, values, starts = _packed(batch)
-            means, u, _ = _series_step(_index(days, n_days), values, starts, factors, ridge)
+            means, u, *_ = _series_step(_index(days, n_days), values, starts, factors, ridge, scale, np.ones(len(days), bool))
             ends = np.append(starts[1:], len(values))
             lengths = days[ends - 1] - days[starts] + 1
             offsets = np.append(0, np.cumsum(lengths))
             of = np.repeat(np.arange(len(starts)), lengths)
             grid = np.arange(offsets[-1]) - offsets[of] + days[starts][of]
             at = _index(grid, n_days)
-            estimate = np.clip(means[of] + np.einsum("ij,ij->i", u[of], factors[at]), low, top)
+            estimate = np.clip(means[of] + trust * scale * np.einsum("ij,ij->i", u[of], factors[at]), low, top)
             counts = ends - starts
             state = np.where((counts[of] >= min_series) & (support[at] >= min_day), 1, 2)
             cell = np.repeat(offsets[:-1] - days[starts], counts) + days

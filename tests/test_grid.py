@@ -113,3 +113,12 @@ def test_dates_that_are_far_off(spark):
     got = {(r.s, r.date): r.state for r in grid(spark, rows)}
     assert got["far", dt.date(1, 1, 2)] == "unsupported" and got["late", dt.date(9999, 12, 31)] == "observed"
     assert got["s1", d(0)] == "observed" and len(got) == 5 * 19 + 3 + 1
+
+
+def test_readings_without_a_common_shape_are_filled_by_the_mean(spark):
+    rnd = np.random.default_rng(11)
+    rows = [(f"s{i}", d(t), float(10 + rnd.normal()), "x") for i in range(40) for t in range(60) if t in (0, 59) or rnd.random() < 0.8]
+    got = grid(spark, rows)
+    means = {f"s{i}": np.mean([r[2] for r in rows if r[0] == f"s{i}"]) for i in range(40)}
+    off = [r.value - means[r.s] for r in got if r.state == "filled"]
+    assert np.sqrt(np.mean(np.square(off))) < 0.3
