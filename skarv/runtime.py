@@ -81,10 +81,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def clean() -> None:
-    """Remove the intermediate tables of this driver, as far as its sessions still live."""
-    while _made:
-        spark, path = _made.pop()
+    """Remove the folder of this driver's intermediate tables, as far as its sessions still live."""
+    folders = {path.rpartition("/")[0]: spark for spark, path in _made}
+    _made.clear()
+    for folder, spark in folders.items():
         try:
-            remove(spark, path)
+            remove(spark, folder)
         except Exception:  # the session has ended; its shared folder goes with it
             pass
