@@ -404,3 +404,14 @@ def page_labels(spark: SparkSession, d: str) -> DataFrame:
         B.priority(F.coalesce("click_depth", F.lit(0))).alias("priority"),
         F.size(F.filter(links, lambda x: ~B.same_host(x, F.col("url")))).cast("long").alias("outside"),
     )
+
+
+_PROVIDERS = {
+    "openai": "blocked_openai * 4 + greatest(0.0, 70 - answer_first) * 0.45 + restricted * 3 - transparent_share * 0.08",
+    "google": "blocked_google * 2 + noindex * 3 + render_heavy * 4 + mismatch * 4 - schema_coverage * 0.05",
+    "bing": "blocked_bing * 4 + restricted * 3 + 8 - schema_coverage * 0.04",
+    "perplexity": "blocked_perplexity * 4 + greatest(0.0, 65 - answer_first) * 0.40 + (CASE WHEN cited_share < 60 THEN 8 ELSE 0 END) - cited_share * 0.05",
+    "citation": "greatest(0.0, 65 - answer_first) * 0.35 + restricted * 2 - transparent_share * 0.05",
+}
+SQL["provider_scores"] = f"WITH {PAGES}, {METRICS} " + " UNION ALL ".join(f"SELECT run_id, '{p}' AS provider, round(least(100.0, greatest(0.0, CAST(100 - ({x}) AS DOUBLE))), 1) AS score FROM metrics" for p, x in _PROVIDERS.items())
+SQL["issue_lists"] = f"SELECT run_id, string_agg('## ' || issue || chr(10) || '- ' || replace(first_urls, ' ', chr(10) || '- '), chr(10) || chr(10) ORDER BY issue) AS text FROM ({SQL['affected_pages']}) GROUP BY run_id"
