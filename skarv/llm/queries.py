@@ -79,3 +79,9 @@ SQL: dict[str, str] = {
     "p6_found": f"WITH {counting_sql('gsc_page_query_daily')}, t AS (SELECT domain, page, query, sum(coalesce(impressions, 0)) AS n FROM c_gsc_page_query_daily GROUP BY ALL) "
     "SELECT domain, page, query, CAST(rank_no AS INT) AS rank_no FROM (SELECT *, row_number() OVER (PARTITION BY domain, page ORDER BY n DESC, query) AS rank_no FROM t) WHERE rank_no <= 10",
 }
+SQL["p5_clean"] = (
+    f"WITH {_LINES}, bad AS (SELECT DISTINCT run_id, crawl_seq, field_name, line_no FROM l JOIN c USING (site, field_name, k)), "
+    "s AS (SELECT run_id, crawl_seq, string_split(body_text, chr(10)) AS b, headings AS h FROM (SELECT *, row_number() OVER (PARTITION BY run_id, crawl_seq ORDER BY ingested_at DESC) AS rn FROM page_snapshots) WHERE rn = 1), "
+    "g AS (SELECT run_id, crawl_seq, list(line_no) FILTER (WHERE field_name = 'body_text') AS x, list(line_no) FILTER (WHERE field_name = 'headings') AS y FROM bad GROUP BY ALL) "
+    "SELECT run_id, crawl_seq, array_to_string(list_filter(b, lambda v, i: NOT list_contains(coalesce(x, []), i - 1)), chr(10)) AS body_text, list_filter(h, lambda v, i: NOT list_contains(coalesce(y, []), i - 1)) AS headings FROM s LEFT JOIN g USING (run_id, crawl_seq)"
+)
