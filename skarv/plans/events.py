@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarv.operators import pages as P
+from skarv.plans.pages import PAGES, url_sql
 from skarv.sources import crawl as C
 from skarv.sources import html as H
 from skarv.sources import requests as Q
@@ -64,3 +65,16 @@ def crawl_depths(spark: SparkSession, d: str) -> DataFrame:
     pages = P.counting(table(spark, d, "page_snapshots"), ["url", "discovered_from", "internal_links"])
     seeds = pages.filter("discovered_from = 'seed'").select("url")
     return C.crawl(seeds, pages.select(F.col("url").alias("src"), F.explode("internal_links").alias("dst")))
+
+
+def _crawl_sql() -> str:
+    host = "lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+    return (
+        f"WITH RECURSIVE {PAGES}, links AS (SELECT url AS s, unnest(internal_links) AS t FROM pages), e AS (SELECT DISTINCT src, dst FROM (SELECT {url_sql('s')} AS src, {url_sql('t')} AS dst FROM links) "
+        f"WHERE {host.format('src')} = {host.format('dst')} AND {host.format('dst')} <> '' AND NOT regexp_matches(dst, '{C.NO_PAGE}')), "
+        f"r AS (SELECT DISTINCT {url_sql('url')} AS url, 0 AS depth FROM pages WHERE discovered_from = 'seed' UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 20) "
+        "SELECT url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY url"
+    )
+
+
+SQL["crawl_depths"] = _crawl_sql()
