@@ -17,7 +17,7 @@ the site (their titles, alone or after a few words).
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,8 +38,10 @@ _LEAD = re.compile(r"^[\W_]+")
 _QUOTES = "\"'”»’)"
 _STOPS = frozenset(".!?…")
 _FACT = re.compile(r"^[^:.!?]{3,60}: [^:,.!?|]{1,40}$")
-#: Shapes on fewer than this share of pages have no node of their own; the others are at most twice 3334 times a page's lines.
+#: Shapes on this share of pages go to every worker, at most twice 3334 times a page's lines; the others are joined from a table.
 SHAPE_SHARE = 0.0003
+#: A shape has a node if it stands on so many pages, whatever the size of the corpus.
+EVIDENCE = 5
 #: Pages that are Python objects at a time in a worker.
 ROWS = 500
 #: Longer lines are paragraphs and aren't looked up in the tree.
@@ -194,86 +196,142 @@ class _Page:
         return h in self.links or bool(self.links) and not self.links.isdisjoint(_link_probes(self.lines[i]))
 
 
+def _lists(column: pa.Array, names: tuple[str, ...]) -> list[list]:
+    """Where each row's structs begin and end, then their fields, all rows one after the other."""
+    flat = column.flatten()
+    ends = [0, *pa.compute.cumulative_sum(pa.compute.fill_null(column.value_lengths(), 0)).to_pylist()]
+    return [ends, *(flat.field(n).to_pylist() for n in names)]
+
+
 def _pages(batch: pa.RecordBatch) -> Iterator[_Page]:
-    nodes = batch.column("nodes")
-    flat, ends = nodes.flatten(), [0, *pa.compute.cumulative_sum(pa.compute.fill_null(nodes.value_lengths(), 0)).to_pylist()]
-    h, imp, link = (flat.field(n).to_pylist() for n in ("h", "imp", "link"))
+    ends, h, imp, link = _lists(batch.column("nodes"), ("h", "imp", "link"))
     names = ("body_text", "hs", "heads", "h1", "title")
     for i, values in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
         a, b = ends[i], ends[i + 1]
         yield _Page(*values, dict(zip(h[a:b], zip(imp[a:b], link[a:b]))))
 
 
-def _shape_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """shape, n, imp, ends, pages of one task: lines after the main heading, summed by shape before the shuffle."""
-    seen: dict[str, list[float]] = defaultdict(lambda: [0, 0.0, 0, 0])
+#: What is known of a line by itself, as bits: see _facts.
+SENTENCE, OWN, LINK, FACT, LATE, FIRST, UNSEEN, NEW_SHAPE, NEW_BRANCH = (1 << i for i in range(9))
+
+
+def _name_hash(name: str) -> int:
+    h = xxhash.xxh64_intdigest(name)
+    return h - (1 << 64) if h >> 63 else h
+
+
+#: The shape of lines in capitals.
+CAPITALS = _name_hash("")
+
+
+@lru_cache(1 << 14)
+def _forms(line: str) -> tuple[int, int]:
+    """Hashes of a line's shape and of the branch above it, 0 if there is none."""
+    form = shape(line)
+    return _name_hash(form), _name_hash(branch(form)) if form else 0
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What judging a page takes besides the shapes: no texts, one small record for each line after the main heading.
+
+    noise: lines that are none of the main body whatever their shape; first: lines that are the first paragraph, text: it isn't
+    blank, found: the page has its main heading; lines: number, shape, branch, importance and bits.
+    """
     for batch in slices(batches, ROWS):
-        for page in _pages(batch):
-            if page.start is None:
-                continue
-            after = [i for i in page.rows if i > page.start]
+        noise, where, text, has, offsets = [], [], [], [], [0]
+        cols: list[list] = [[], [], [], [], []]
+        fps, texts = batch.column("fp").to_pylist(), batch.column("first_paragraph").to_pylist()
+        for page, fp, first in zip(_pages(batch), fps, texts, strict=True):
+            text.append(bool(first and first.strip()))
+            has.append(page.start is not None)
+            where.append([i for i in page.rows if page.hs[i] == fp] if text[-1] else [])
+            noise.append(page.rows if page.start is None else [i for i in page.rows if i < page.start])
+            after = [] if page.start is None else [i for i in page.rows if i > page.start]
             last = max((i for i in after if page.is_anchor(i)), default=page.start)
             here = set()
-            for i in after:
-                if is_sentence(page.lines[i]) and len(page.lines[i]) > 120:
-                    continue
-                s = seen[k := shape(page.lines[i])]
-                s[0] += 1
-                s[1] += page.importance(i)
-                s[2] += i > last
-                s[3] += k not in here
-                here.add(k)
-                if k:
-                    s = seen[k := branch(k)]
-                    s[0] += 1
-                    s[1] += page.importance(i)
-                    s[2] += i > last
-                    s[3] += k not in here
-                    here.add(k)
-    names = list(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([seen[k][j] for k in names], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))]], ["shape", "n", "imp", "ends", "pages"])
-
-
-def noise_lines(page: _Page, shapes: dict[str, tuple[float, float]]) -> list[int]:
-    """Numbers of the non-blank lines that aren't main content. shapes: mean importance and end weight of common shapes."""
-    if page.start is None:
-        return list(page.rows)
-    noise = [i for i in page.rows if i < page.start]
-    after = [i for i in page.rows if i > page.start]
-    last = max((i for i in after if page.is_anchor(i)), default=page.start)
+            for k, i in enumerate(after):
+                line, imp = page.lines[i], page.importance(i)
+                bits = LATE * (i > last) | FIRST * (k == 0)
+                if is_sentence(line):
+                    bits |= SENTENCE | UNSEEN * (len(line) > LONG)
+                # rows of a table are the page's own, as frames don't repeat within a page
+                bits |= OWN * (page.hs[i] in page.heads or (page.times[page.hs[i]] >= 3 and imp > LOW))
+                bits |= LINK * page.is_link(i) | FACT * bool(_FACT.match(plain(line)))
+                f, b = _forms(line)
+                if not (bits & SENTENCE and len(line) > 120):
+                    bits |= NEW_SHAPE * (f not in here) | NEW_BRANCH * (b not in here)
+                    here |= {f, b}
+                else:
+                    f = b = 0
+                for c, x in zip(cols, (i, f, b, imp, bits)):
+                    c.append(x)
+            offsets.append(len(cols[0]))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float32(), pa.int32())
+        lines = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["i", "f", "b", "imp", "bits"])
+        made = [pa.array(noise, pa.list_(pa.int32())), pa.array(where, pa.list_(pa.int32())), pa.array(text, pa.bool_()), pa.array(has, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lines)]
+        yield pa.RecordBatch.from_arrays([batch.column("run_id"), batch.column("crawl_seq"), *made], ["run_id", "crawl_seq", "noise", "first", "text", "found", "lines"])
+
+
+def _shape_table(facts: DataFrame) -> DataFrame:
+    """f, mean, ends, pages of the shapes and branches on EVIDENCE pages or more: mean importance and end weight."""
+    each = facts.select(F.inline("lines")).filter("f <> 0")
+    has = lambda bit: (F.col("bits").bitwiseAND(F.lit(bit)) != 0).cast("int")
+    both = F.array(F.struct(F.col("f"), has(NEW_SHAPE).alias("new")), F.struct(F.col("b").alias("f"), has(NEW_BRANCH).alias("new")))
+    rows = each.select("imp", has(LATE).alias("late"), F.inline(both)).filter("f <> 0")
+    sums = rows.groupBy("f").agg(F.avg(F.col("imp").cast("double")).alias("mean"), F.avg("late").alias("ends"), F.sum("new").alias("pages"))
+    return sums.filter(F.col("pages") >= EVIDENCE)
+
+
+def _rare_shapes(facts: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """page, crawl_seq, rare: of each page the shapes under `least` pages that its judgement may turn on, as f, mean, ends.
+
+    Those are of lines that the site repeats, that nothing of the main body follows or that are in capitals. Commoner shapes
+    don't take part, so no key of the join has more than its share of the pages.
+    """
+    lines = facts.select(F.xxhash64("run_id", "crawl_seq").alias("page"), "crawl_seq", F.inline("lines"))
+    open_ = lines.filter((F.col("imp") <= LOW) | (F.col("bits").bitwiseAND(F.lit(LATE)) != 0) | (F.col("f") == CAPITALS))
+    asked = open_.select("page", "crawl_seq", F.explode(F.array("f", "b")).alias("f")).filter("f <> 0").distinct()
+    hit = asked.join(table.filter(F.col("pages") < least).select("f", "mean", "ends"), "f")
+    return hit.groupBy("page", "crawl_seq").agg(F.collect_list(F.struct("f", "mean", "ends")).alias("rare"))
+
+
+def noise_lines(lines: list[tuple[int, int, int, float, int]], shapes: dict[int, tuple[float, float]], rare: dict[int, tuple[float, float]]) -> list[int]:
+    """Numbers of the lines after the main heading that aren't main content. shapes, rare: mean importance and end weight.
+
+    A line whose shape and branch are too rare to have either is judged by its own importance in its site.
+    """
+    noise: list[int] = []
     tail = False
-    for k, i in enumerate(after):
-        line, h = page.lines[i], page.hs[i]
-        sentence = is_sentence(line)
-        if sentence and len(line) > LONG:
-            tail = tail and i > last
+    for i, f, b, imp, bits in lines:
+        sentence, late, link = bits & SENTENCE, bits & LATE, bits & LINK
+        if bits & UNSEEN:
+            tail = tail and bool(late)
             continue
-        imp = page.importance(i)
-        form = shape(line)
-        mean, ends = shapes.get(form) or (form and shapes.get(branch(form))) or (1.0, 0.0)
-        if h in page.heads or (page.times[h] >= 3 and imp > LOW):  # rows of a table, as frames don't repeat within a page
+        own = shapes.get(f) or rare.get(f)
+        mean, ends = own or shapes.get(b) or rare.get(b) or (imp, 0.0)
+        if bits & OWN:
             tail = False
             continue
-        if k == 0 and not sentence and not page.is_link(i):
+        if bits & FIRST and not sentence and not link:
             bad = True  # between the main heading and its first paragraph: who wrote it, and when
-        elif page.is_link(i):
+        elif link:
             bad = True
-        elif _FACT.match(plain(line)) and ends < END:
+        elif bits & FACT and ends < END:
             bad = False  # a fact on all pages of a site is still one of the page's own rows
-        elif ends >= END and i > last:
+        elif ends >= END and late:
             bad = True
-        elif mean < SHAPE_LOW and (imp <= LOW or form == ""):  # capitals are a shape by themselves
+        elif mean < SHAPE_LOW and (imp <= LOW or f == CAPITALS):  # capitals are a shape by themselves
             bad = True
-        elif imp <= LOW and i > last and ends > 0.6:
+        elif imp <= LOW and late and ends > 0.6:
             bad = True
-        elif tail and i > last and not sentence:
+        elif tail and late and not sentence:
             # after the end has begun only shapes that live in main bodies count
-            bad = not (mean > 0.6 and ends < 0.6 and form in shapes)
+            bad = not (own and mean > 0.6 and ends < 0.6)
         else:
             bad = False
         if bad:
             noise.append(i)
-            tail = tail or i > last
+            tail = tail or bool(late)
     return noise
 
 
@@ -284,8 +342,9 @@ def boilerplate(page_snapshots: DataFrame, audit_runs: DataFrame) -> DataFrame:
     their main heading (h1) in the text have no main content. first_paragraph is not main if it is such a line, or if the page
     has no main content; null or blank ones give no row. Null body gives only first_paragraph's row. Pages delivered twice count
     once; a page whose run is unknown has its run as site; an empty table gives no rows.
-    Runs jobs: pages with line hashes are written once, then pages with their nodes; common shapes are gathered by the driver
-    (at most 1/SHAPE_SHARE times the mean number of lines).
+    Runs jobs: pages with line hashes are written once, then pages with their nodes, then small records of their lines and the
+    shapes on EVIDENCE pages or more; common shapes are gathered by the driver (at most 1/SHAPE_SHARE times the mean number of
+    lines), all others joined to the pages that need them.
     """
     found, _ = _analysed(page_snapshots, audit_runs)
     return found
@@ -304,26 +363,31 @@ def _analysed(page_snapshots: DataFrame, audit_runs: DataFrame) -> tuple[DataFra
     site = F.coalesce("site", F.xxhash64("run_id"))
     pages = cut(counted.withColumns({"site": site, "page": F.xxhash64("run_id", "crawl_seq")}), "boilerplate-pages")
     pages = cut(_with_nodes(pages), "boilerplate-nodes")
-    total = pages.count()
-    counts = pages.select("body_text", "hs", "heads", "h1", "title", "nodes").mapInArrow(_shape_counts, "shape string, n long, imp double, ends long, pages long")
-    common = counts.groupBy("shape").agg(*[F.sum(c).alias(c) for c in ("n", "imp", "ends", "pages")]).filter((F.col("pages") >= max(5, SHAPE_SHARE * total)))
-    shapes = {r["shape"]: (r["imp"] / r["n"], r["ends"] / r["n"]) for r in common.collect()}
+    kinds = f"run_id string, crawl_seq {seq}, noise array<int>, first array<int>, text boolean, found boolean, lines array<struct<i:int,f:bigint,b:bigint,imp:float,bits:int>>"
+    facts = cut(pages.mapInArrow(_facts, kinds), "boilerplate-facts")
+    table = cut(_shape_table(facts), "boilerplate-shapes")
+    least = max(EVIDENCE, SHAPE_SHARE * facts.count())
+    shapes = {r["f"]: (r["mean"], r["ends"]) for r in table.filter(F.col("pages") >= least).collect()}
+    keyed = facts.withColumn("page", F.xxhash64("run_id", "crawl_seq"))
+    known = keyed.join(_rare_shapes(facts, table, least), ["page", "crawl_seq"], "left").drop("page")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             out = []
-            fps, texts = batch.column("fp").to_pylist(), batch.column("first_paragraph").to_pylist()
-            for page, fp, text in zip(_pages(batch), fps, texts, strict=True):
-                noise = noise_lines(page, shapes)
-                if text and text.strip():
-                    where = [i for i in page.rows if page.hs[i] == fp]
-                    bad = set(noise)
-                    if page.start is None or (where and all(i in bad for i in where)):
-                        noise = [-1, *noise]
+            ends, *flat = _lists(batch.column("lines"), ("i", "f", "b", "imp", "bits"))
+            rare_ends, rare_f, *rare_flat = _lists(batch.column("rare"), ("f", "mean", "ends"))
+            names = ("noise", "first", "text", "found")
+            for k, (noise, first, text, found) in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
+                a, b = ends[k], ends[k + 1]
+                c, d = rare_ends[k], rare_ends[k + 1]
+                rare = dict(zip(rare_f[c:d], zip(*(x[c:d] for x in rare_flat))))
+                noise = noise + noise_lines(list(zip(*(x[a:b] for x in flat))), shapes, rare)
+                if text and (not found or first and set(first) <= set(noise)):
+                    noise = [-1, *noise]
                 out.append(noise)
             yield pa.RecordBatch.from_arrays([batch.column("run_id"), batch.column("crawl_seq"), pa.array(out, pa.list_(pa.int32()))], ["run_id", "crawl_seq", "noise"])
 
-    judged = pages.mapInArrow(judge, f"run_id string, crawl_seq {seq}, noise array<int>")
+    judged = known.mapInArrow(judge, f"run_id string, crawl_seq {seq}, noise array<int>")
     return judged.select("run_id", "crawl_seq", F.explode("noise").alias("line_no")), pages
 
 

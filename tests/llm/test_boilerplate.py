@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from skarv.llm import boilerplate as module
 from skarv.llm.boilerplate import boilerplate, is_sentence, main_content, shape
 
 T = dt.datetime(2026, 1, 1)
@@ -78,3 +79,23 @@ def test_shapes_and_sentences():
     assert shape("  – Fadebebu har flyttet til Dibonlund !") == "C har flyttet til C"
     assert shape("IN CAPITALS") == ""
     assert is_sentence("We hear from you within two days.") and not is_sentence("Sign up for our newsletter !")
+
+
+def test_shapes_below_the_share_of_pages_count(spark, monkeypatch):
+    rnd = random.Random(5)
+    pages = [p for s in range(6) for p in site(s, rnd)[0]]
+    df, runs = spark.createDataFrame(pages, PAGE), spark.createDataFrame([(f"r{s}", f"https://s{s}.example/", T) for s in range(6)], RUN)
+    lines = lambda: {(r.run_id, r.crawl_seq, r.line_no) for r in boilerplate(df, runs).collect()}
+    want = lines()
+    monkeypatch.setattr(module, "SHAPE_SHARE", 2.0)  # as in a corpus so large that no shape is on its share of the pages
+    assert lines() == want
+
+
+def test_frame_of_a_small_site_only(spark):
+    frame = "By going on you let zebrafirm keep what it has to remember."
+    rows = []
+    for i in range(4):
+        own = [f"We look after {WORDS[4 * i + j]} number {i}{j} in the {WORDS[j]} all year." for j in range(2)]
+        rows.append(("r", i, T, f"https://s.example/{i}", "\n".join([f"Head {i} a", own[0], frame, own[1]]), [f"Head {i} a"], f"Head {i} a", f"Title {i}", None, "", ""))
+    got = {(r.crawl_seq, r.line_no) for r in boilerplate(spark.createDataFrame(rows, PAGE), spark.createDataFrame([("r", "https://s.example/", T)], RUN)).collect()}
+    assert got == {(i, 2) for i in range(4)}
