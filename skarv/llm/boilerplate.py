@@ -44,7 +44,7 @@ SHAPE_SHARE = 0.0003
 EVIDENCE = 5
 #: Pages that are Python objects at a time in a worker.
 ROWS = 500
-#: Longer lines are paragraphs and aren't looked up in the tree.
+#: Longer lines are paragraphs and not kept in the caches.
 LONG = 200
 #: A content node is unimportant up to this importance (a fifth of a site's 20 pages).
 LOW = 0.55
@@ -82,7 +82,6 @@ def plain(line: str) -> str:
 _SHAPE = re.compile(r"[^\W\d_]+|\d+|[:,|?()%@/·•–»]")
 
 
-@lru_cache(1 << 14)
 def shape(line: str) -> str:
     """Capitalised words as C (runs as one), numbers as #, other words as they are; lines in capitals have none."""
     text = plain(line)
@@ -98,7 +97,7 @@ def shape(line: str) -> str:
         if w != last or w not in "C#":
             out.append(w)
             last = w
-    return " ".join(out[:24])
+    return " ".join(out)
 
 
 def branch(shape: str) -> str:
@@ -118,14 +117,12 @@ def is_sentence(line: str) -> bool:
 def _link_probes(line: str) -> tuple[int, ...]:
     """Hashes of what a short line says from a capital after its first one to five words: perhaps another page's title."""
     text = plain(line)
-    if len(text) > 120:
-        return ()
     words = text.split()
     return tuple(h for k in range(1, min(6, len(words) - 1)) if (words[k][0].isupper() or not words[k][0].isalnum()) and (h := letters_hash(" ".join(words[k:]))))
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of each page's lines, and those to ask the tree for: lines after the main heading that are no long paragraphs."""
+    """Hashes of each page's lines, and those to ask the tree for: all lines after the main heading."""
     for batch in slices(batches, ROWS):
         col = {n: batch.column(n).to_pylist() for n in ("body_text", "headings", "h1", "title", "first_paragraph")}
         hs, ask, probes, heads, h1, title, fp = [], [], [], [], [], [], []
@@ -138,7 +135,7 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fp.append(letters_hash(first))
             start = hs[-1].index(h1[-1]) if h1[-1] and h1[-1] in hs[-1] else len(lines)
             after = range(start + 1, len(lines))
-            ask.append(sorted({h for i in after if len(lines[i]) <= LONG and (h := hs[-1][i])}))
+            ask.append(sorted({h for i in after if (h := hs[-1][i])}))
             probes.append(sorted({p for i in after if lines[i].strip() and not is_sentence(lines[i]) for p in _link_probes(lines[i])} - set(ask[-1])))
         ints = pa.list_(pa.int64())
         made = [pa.array(hs, ints), pa.array(ask, ints), pa.array(probes, ints), pa.array(heads, ints), pa.array(h1, pa.int64()), pa.array(title, pa.int64()), pa.array(fp, pa.int64())]
@@ -212,7 +209,7 @@ def _pages(batch: pa.RecordBatch) -> Iterator[_Page]:
 
 
 #: What is known of a line by itself, as bits: see _facts.
-SENTENCE, OWN, LINK, FACT, LATE, FIRST, UNSEEN, NEW_SHAPE, NEW_BRANCH = (1 << i for i in range(9))
+SENTENCE, OWN, LINK, FACT, LATE, FIRST, NEW_SHAPE, NEW_BRANCH = (1 << i for i in range(8))
 
 
 def _name_hash(name: str) -> int:
@@ -224,13 +221,15 @@ def _name_hash(name: str) -> int:
 CAPITALS = _name_hash("")
 
 
-@lru_cache(1 << 14)
-def _forms(line: str) -> tuple[int, int]:
+def _long_forms(line: str) -> tuple[int, int]:
     """Hashes of a line's shape and of the branch above it, 0 if there is none."""
     form = shape(line)
     return _name_hash(form), _name_hash(branch(form)) if form else 0
 
 
+_forms = lru_cache(1 << 14)(_long_forms)
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What judging a page takes besides the shapes: no texts, one small record for each line after the main heading.
 
@@ -253,16 +252,13 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 line, imp = page.lines[i], page.importance(i)
                 bits = LATE * (i > last) | FIRST * (k == 0)
                 if is_sentence(line):
-                    bits |= SENTENCE | UNSEEN * (len(line) > LONG)
+                    bits |= SENTENCE
                 # rows of a table are the page's own, as frames don't repeat within a page
                 bits |= OWN * (page.hs[i] in page.heads or (page.times[page.hs[i]] >= 3 and imp > LOW))
                 bits |= LINK * page.is_link(i) | FACT * bool(_FACT.match(plain(line)))
-                f, b = _forms(line)
-                if not (bits & SENTENCE and len(line) > 120):
-                    bits |= NEW_SHAPE * (f not in here) | NEW_BRANCH * (b not in here)
-                    here |= {f, b}
-                else:
-                    f = b = 0
+                f, b = _forms(line) if len(line) <= LONG else _long_forms(line)
+                bits |= NEW_SHAPE * (f not in here) | NEW_BRANCH * (b not in here)
+                here |= {f, b}
                 for c, x in zip(cols, (i, f, b, imp, bits)):
                     c.append(x)
             offsets.append(len(cols[0]))
@@ -274,7 +270,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shape_table(facts: DataFrame) -> DataFrame:
     """f, mean, ends, pages of the shapes and branches on EVIDENCE pages or more: mean importance and end weight."""
-    each = facts.select(F.inline("lines")).filter("f <> 0")
+    each = facts.select(F.inline("lines"))
     has = lambda bit: (F.col("bits").bitwiseAND(F.lit(bit)) != 0).cast("int")
     both = F.array(F.struct(F.col("f"), has(NEW_SHAPE).alias("new")), F.struct(F.col("b").alias("f"), has(NEW_BRANCH).alias("new")))
     rows = each.select("imp", has(LATE).alias("late"), F.inline(both)).filter("f <> 0")
@@ -304,9 +300,6 @@ def noise_lines(lines: list[tuple[int, int, int, float, int]], shapes: dict[int,
     tail = False
     for i, f, b, imp, bits in lines:
         sentence, late, link = bits & SENTENCE, bits & LATE, bits & LINK
-        if bits & UNSEEN:
-            tail = tail and bool(late)
-            continue
         own = shapes.get(f) or rare.get(f)
         mean, ends = own or shapes.get(b) or rare.get(b) or (imp, 0.0)
         if bits & OWN:

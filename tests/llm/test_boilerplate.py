@@ -99,3 +99,16 @@ def test_frame_of_a_small_site_only(spark):
         rows.append(("r", i, T, f"https://s.example/{i}", "\n".join([f"Head {i} a", own[0], frame, own[1]]), [f"Head {i} a"], f"Head {i} a", f"Title {i}", None, "", ""))
     got = {(r.crawl_seq, r.line_no) for r in boilerplate(spark.createDataFrame(rows, PAGE), spark.createDataFrame([("r", "https://s.example/", T)], RUN)).collect()}
     assert got == {(i, 2) for i in range(4)}
+
+
+def test_long_notices_in_the_body(spark):
+    notice = "We keep small text files so that the pages work, and by reading on here you let us and our partners remember " + "what you look at, how long you stay, where you came from and which of the offers you liked, " * 2 + "until you say no."
+    assert len(notice) > 200
+    rows, runs = [], []
+    for s in range(2):
+        for i in range(6):
+            own = [f"We look after {WORDS[i]} number {s}{i}{j} in the {WORDS[j]} all year, " + f"and {WORDS[i + j]} in every season of it, " * 6 + "as people know." for j in range(2)]
+            rows.append((f"r{s}", i, T, f"https://s{s}.example/{i}", "\n".join([f"Head {i} a", own[0], notice, own[1]]), [f"Head {i} a"], f"Head {i} a", f"Title {i}", None, "", ""))
+        runs.append((f"r{s}", f"https://s{s}.example/", T))
+    got = {(r.run_id, r.crawl_seq, r.line_no) for r in boilerplate(spark.createDataFrame(rows, PAGE), spark.createDataFrame(runs, RUN)).collect()}
+    assert got == {(f"r{s}", i, 2) for s in range(2) for i in range(6)}
