@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from skarv.runtime import cut
 
 #: File endings that are no pages.
 NO_PAGE = r"(?i)\.(jpe?g|png|gif|webp|svg|ico|pdf|zip|gz|mp[34]|webm|avi|css|js|json|xml|txt|woff2?|ttf|docx?|xlsx?|pptx?)$"
+#: Rounds after which a crawl's tables of single rounds become one.
+MERGE = 20
 
 
 def sitemap_urls(seeds: DataFrame, files: DataFrame, rounds: int = 5) -> DataFrame:
@@ -35,21 +39,23 @@ def sitemap_urls(seeds: DataFrame, files: DataFrame, rounds: int = 5) -> DataFra
     raise ValueError(f"sitemaps are nested deeper than {rounds} rounds")
 
 
-def crawl(seeds: DataFrame, links: DataFrame, rounds: int = 20) -> DataFrame:
+def crawl(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """url, depth: pages reachable from seeds (url) over links (src, dst) within the seed's host, with their first depth.
 
-    Breadth first: one join a round, the frontier without what was seen. Every URL is in normal form. The frontier is
-    written each round, so plans stay short and lost executors cost one round.
+    Breadth first: one join a round, the frontier without what was seen, until nothing new is reached. Every URL is in normal
+    form. The frontier is written each round, and what was seen every MERGE rounds as one table, so plans stay short and lost
+    executors cost one round.
     """
     edge = links.select(url_col(F.col("src")).alias("src"), url_col(F.col("dst")).alias("dst"))
     edge = cut(edge.filter((host_col(F.col("src")) == host_col(F.col("dst"))) & ~F.col("dst").rlike(NO_PAGE)).distinct(), "crawl-links")
     frontier = seeds.select(url_col(F.col("url")).alias("url")).distinct()
     seen = cut(frontier.withColumn("depth", F.lit(0)), "crawl-0")
     frontier = seen
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         reached = edge.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
         frontier = cut(reached.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)), f"crawl-{depth}")
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        if depth % MERGE == 0:
+            seen = cut(seen, f"crawl-seen-{depth}")

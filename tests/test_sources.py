@@ -48,6 +48,14 @@ def test_sitemaps_and_crawl(spark):
     assert got == {h + "/": 0, h + "/1": 1, h + "/2": 1, h + "/3": 2}
 
 
+def test_crawl_follows_long_chains(spark):
+    h = "https://a.example"
+    pages = [f"{h}/{i}" for i in range(26)]
+    links = spark.createDataFrame([*zip(pages, pages[1:]), (pages[-1], pages[0]), (pages[22], pages[2])], "src string, dst string")
+    got = {r.url: r.depth for r in crawl.crawl(spark.createDataFrame([(pages[0],)], "url string"), links).collect()}
+    assert got == {p: i for i, p in enumerate(pages)}
+
+
 PAGE = """<html><head><title> A  page </title><meta name="description" content="About"><meta name=robots content="noindex, max-snippet:20">
 <link rel="canonical" href="/c"><script type="application/ld+json">[{"@type": ["FAQPage", "X"]}, 3]</script><script>var p = "</p>";</script></head>
 <body><h1>Head <b>line</b></h1><p>First: one<p>Second<ul><li>a: b</ul><a href="/in/">i</a><a href="https://Out.example/#x">o</a><a href="#top">t</a><a href="mailto:x@y">m</a>
