@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarv.operators.shred import Plan, shred
+from skarv.operators.shred import Plan, schema_graph, shred
 
 #: The lists of report_json and summary_json that become relations.
 RELATIONS = [
@@ -31,7 +31,25 @@ RELATIONS = [
     "summary.categoryScores",
     "summary.providerScores",
 ]
-PLAN = Plan({"report_json": "", "summary_json": "summary"}, RELATIONS)
+COLUMNS = {"report_json": "", "summary_json": "summary"}
+PLAN = Plan(COLUMNS, RELATIONS)
+#: The relations of the two JSON records themselves, for what they have once.
+ROOTS = {"report_json": "report", "summary_json": "summary"}
+
+
+def report_plan(audit_runs: DataFrame) -> Plan:
+    """A plan with every path that repeats in the reports and summaries, and RELATIONS; runs a job for each column."""
+    paths = set(RELATIONS)
+    for column, prefix in COLUMNS.items():
+        many = schema_graph(audit_runs, column).filter("repeated").select("path").collect()
+        paths |= {f"{prefix}.{r.path}" if prefix else r.path for r in many}
+    return Plan.infer(list(paths), COLUMNS, ROOTS)
+
+
+def report_tables(audit_runs: DataFrame) -> DataFrame:
+    """Like report_elements with values, for all that reports and summaries hold: every repeated path has a relation, and what
+    a record has once is in its row of `report` or `summary` (elem_path "")."""
+    return shred(audit_runs, "id", report_plan(audit_runs), by="ingested_at", with_values=True).withColumnRenamed("id", "run_id")
 
 
 def report_elements(audit_runs: DataFrame, with_values: bool = False) -> DataFrame:

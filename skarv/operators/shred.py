@@ -66,10 +66,11 @@ class Plan:
     path segments is walked in each record, so the work is one visit per element.
     """
 
-    def __init__(self, columns: dict[str, str], relations: list[str]):
-        self.columns, self.relations = columns, relations
+    def __init__(self, columns: dict[str, str], relations: list[str], roots: dict[str, str] | None = None):
+        """roots: by column the name of a relation for the records themselves, with path ""."""
+        self.columns, self.relations, self.roots = columns, [*relations, *(roots or {}).values()], roots or {}
         self.trees: dict[str, dict] = {}
-        self.code: dict[str, int] = {r: i for i, r in enumerate(relations)}
+        self.code: dict[str, int] = {r: i for i, r in enumerate(self.relations)}
         for column, prefix in columns.items():
             tree: dict = {}
             for r in relations:
@@ -88,9 +89,9 @@ class Plan:
             self.trees[column] = tree
 
     @staticmethod
-    def infer(graph: list[str], columns: dict[str, str]) -> Plan:
+    def infer(graph: list[str], columns: dict[str, str], roots: dict[str, str] | None = None) -> Plan:
         """A plan with every repeated path of a collected schema graph (its size is that of the schema)."""
-        return Plan(columns, sorted(graph))
+        return Plan(columns, sorted(graph), roots)
 
 
 def _walk(obj: object, tree: dict, path: str, emit: list[tuple[int, str, object]]) -> None:
@@ -158,15 +159,20 @@ def shred(df: DataFrame, key: str, plan: Plan, by: str | None = None, with_value
 
         for t in trees.values():
             index(t)
+        roots = {c: plan.code[r] for c, r in plan.roots.items()}
+        flat |= {code: trees[c] for c, code in roots.items()}
         for batch in slices(batches, ROWS):
             offsets, codes, paths, values = [0], [], [], []
-            cols = [(batch.column(c).to_pylist(), trees[c]) for c in columns]
+            cols = [(batch.column(c).to_pylist(), trees[c], roots.get(c)) for c in columns]
             for i in range(batch.num_rows):
-                for texts, tree in cols:
+                for texts, tree, root in cols:
                     if texts[i] is None:
                         continue
                     found: list[tuple[int, str, object]] = []
-                    _walk(parse(texts[i]), tree, "", found)
+                    record = parse(texts[i])
+                    if root is not None and record is not None:
+                        found.append((root, "", record))
+                    _walk(record, tree, "", found)
                     for code, p, x in found:
                         codes.append(code)
                         paths.append(p)
@@ -189,7 +195,7 @@ def shred(df: DataFrame, key: str, plan: Plan, by: str | None = None, with_value
     rel = F.element_at(F.array(*[F.lit(r) for r in plan.relations]), F.col("c") + 1)
     parents = []
     for r in plan.relations:
-        above = [p for p in plan.relations if r.startswith(p + ".")]
+        above = [p for p in plan.relations if r.startswith(p + ".") and p not in plan.roots.values()]
         parents.append(max(above, key=len) if above else "")
     parent = F.element_at(F.array(*[F.lit(p) for p in parents]), F.col("c") + 1)
     path = F.when(F.col("p").contains("/"), F.regexp_replace("p", "/[^/]*$", "")).otherwise("")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skarv.operators.audits import audit_changes, audit_field_changes
 from skarv.operators.grid import missing_days
 from skarv.operators.metrics import COUNTS, READINGS, page_grid, page_rolling
-from skarv.operators.reports import RELATIONS, report_elements, run_table
+from skarv.operators.reports import RELATIONS, report_elements, report_tables, run_table
 from skarv.plans.pages import url_sql
 from skarv.sources.tables import table
 
@@ -46,7 +46,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_tables(spark: SparkSession, d: str) -> DataFrame:
-    return report_elements(table(spark, d, "audit_runs"), with_values=True)
+    return report_tables(table(spark, d, "audit_runs"))
 
 
 def p7_runs(spark: SparkSession, d: str) -> DataFrame:

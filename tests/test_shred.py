@@ -3,7 +3,7 @@
 import datetime as dt
 import json
 
-from skarv.operators.reports import PLAN, RELATIONS, report_elements
+from skarv.operators.reports import PLAN, RELATIONS, report_elements, report_tables
 from skarv.operators.shred import Plan, relation, schema_graph, shred
 
 DDL = "id string, report_json string, summary_json string, ingested_at timestamp_ntz, e string, x string"
@@ -59,3 +59,13 @@ def test_schema_graph_gives_a_plan(spark):
     assert graph == {"a": False, "a.b": True, "a.b.c": True, "d": False}
     plan = Plan.infer([p for p, many in graph.items() if many], {"report_json": ""})
     assert {(r.rel, r.elem_path) for r in shred(df, "id", plan).collect()} == {("a.b", "0"), ("a.b.c", "0/0")}
+
+
+def test_tables_hold_all_of_a_report(spark):
+    report = {"totalScore": 7, "comparison": {"before": 5, "categoryDeltas": [{"id": "a", "delta": 2}]}, "issues": [{"id": 1}]}
+    rows = report_tables(spark.createDataFrame([("r", json.dumps(report), '{"mode": "page", "categoryScores": []}', T, "", "")], DDL))
+    got = {(r.rel, r.elem_path, r.parent_rel, r.parent_path): json.loads(r.value) for r in rows.collect()}
+    assert got == {
+        ("report", "", "", ""): {"totalScore": 7, "comparison_before": 5}, ("comparison.categoryDeltas", "0", "", ""): {"id": "a", "delta": 2},
+        ("issues", "0", "", ""): {"id": 1}, ("summary", "", "", ""): {"mode": "page"},
+    }
