@@ -14,6 +14,7 @@ from skarv.llm.tokens import encode_corpus
 from skarv.llm.topn import top_n
 from skarv.plans.metrics import counting_sql
 from skarv.plans.pages import url_sql
+from skarv.runtime import cut
 from skarv.sources.tables import latest_value, table
 
 
@@ -34,7 +35,7 @@ def query_totals(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     totals, names = query_totals(table(spark, d, "gsc_page_query_daily"))
-    top = top_n(totals, ["g1", "g2"], "impressions", ["query"], 10)
+    top = top_n(cut(totals, "query-totals"), ["g1", "g2"], "impressions", ["query"], 10)
     return top.join(names, ["g1", "g2"]).select("domain", "page", "query", "rank_no")
 
 

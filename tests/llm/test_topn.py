@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skarv.llm.topn import score_bin, top_n
+from skarv.llm.topn import score_bin, thresholds, top_n
 
 
 def brute(rows, n):
@@ -19,19 +19,19 @@ def brute(rows, n):
     return out
 
 
-@pytest.mark.parametrize("direct", [0, 5, 10_000])
-def test_against_brute_force(spark, direct):
-    rnd = random.Random(direct)
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_against_brute_force(spark, most):
+    rnd = random.Random(most)
     rows = [("hot", f"q{i}", float(rnd.choice([0, 1, 1, 2, 50, 51, 1000, -3]))) for i in range(900)]
     rows += [(rnd.choice(["a", "b", None]), f"q{i}", rnd.choice([None, float("nan"), 5.0, 7.0])) for i in range(60)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "g string, item string, score double, _bin int, rank_no int")
-    got = top_n(df, ["g"], "score", ["item"], 10, direct=direct)
+    got = top_n(df, ["g"], "score", ["item"], 10, broadcast_groups=most)
     assert {(r.g, r.item, r.rank_no) for r in got.collect()} == brute(rows, 10)
 
 
 def test_ties_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([("g", "b", 1), ("g", "a", 1), ("g", "Z", 1), ("g", "æ", 1), ("g", "a", 1)], "g string, item string, score bigint")
-    assert [r.item for r in top_n(df, ["g"], "score", ["item"], 4, direct=0).orderBy("rank_no").collect()] == ["Z", "a", "a", "b"]
+    assert [r.item for r in top_n(df, ["g"], "score", ["item"], 4).orderBy("rank_no").collect()] == ["Z", "a", "a", "b"]
     assert top_n(df.limit(0), ["g"], "score", ["item"], 4).count() == 0
 
 
@@ -40,3 +40,9 @@ def test_bins_never_fall(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     bins = [r.b for r in df.select("i", score_bin(F.col("v")).alias("b")).orderBy("i").collect()]
     assert bins == sorted(bins)
+
+
+def test_small_groups_have_thresholds_too(spark):
+    df = spark.createDataFrame([("g", i, i) for i in range(40)] + [("h", 1, 1)], "g string, item int, score int").withColumn("__skarv_bin", score_bin(F.col("score")))
+    least = {r[0]: r[1] for r in thresholds(df, ["g"], 3).collect()}
+    assert set(least) == {"g"} and df.filter((F.col("g") == "g") & (F.col("__skarv_bin") >= least["g"])).count() < 8
