@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skarv.functions.urls import domain_key, page_key, query_key
 from skarv.llm.boilerplate import boilerplate, main_content
 from skarv.llm.leaks import leaks
-from skarv.llm.repeats import repeats, without_repeats
+from skarv.llm.repeats import field_name, line_counts, page_lines, repeats, without_repeats
 from skarv.llm.stuffing import stuffed_pages
 from skarv.llm.tokens import encode_corpus
 from skarv.llm.topn import top_n
@@ -59,6 +59,12 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_repeats(table(spark, d, "page_snapshots"), table(spark, d, "audit_runs"))
 
 
+def p5_lines(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of a site are on how many pages, in how many clusters of equal documents, on how many dates."""
+    counts = line_counts(page_lines(table(spark, d, "page_snapshots"), table(spark, d, "audit_runs")))
+    return counts.groupBy("site", field_name(F.col("f")).alias("field_name"), "pages", "clusters", "days").agg(F.count("*").alias("line_count"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -67,12 +73,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_main, p5_found, p5_clean, p6_found, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_main, p5_found, p5_clean, p5_lines, p6_found, p8_ids, p9_found, p10_found)}
 _LINES = (
     "runs AS (SELECT id, lower(regexp_extract(trim(target_url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS site FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM audit_runs) WHERE rn = 1), "
-    f"p AS (SELECT run_id, crawl_seq, site, {url_sql('url')} AS url, body_text, headings FROM (SELECT *, row_number() OVER (PARTITION BY run_id, crawl_seq ORDER BY ingested_at DESC) AS rn2 FROM page_snapshots) q JOIN runs ON runs.id = q.run_id WHERE rn2 = 1 AND site <> ''), "
-    "f AS (SELECT run_id, crawl_seq, site, url, 'body_text' AS field_name, string_split(body_text, chr(10)) AS lines FROM p UNION ALL SELECT run_id, crawl_seq, site, url, 'headings', headings FROM p), "
-    r"l AS (SELECT run_id, crawl_seq, site, url, field_name, generate_subscripts(lines, 1) - 1 AS line_no, regexp_replace(lower(unnest(lines)), '[^\p{L}]+', '', 'g') AS k FROM f), "
+    f"p AS (SELECT run_id, crawl_seq, site, {url_sql('url')} AS url, CAST(date_published AS DATE) AS day, body_text, headings FROM (SELECT *, row_number() OVER (PARTITION BY run_id, crawl_seq ORDER BY ingested_at DESC) AS rn2 FROM page_snapshots) q JOIN runs ON runs.id = q.run_id WHERE rn2 = 1 AND site <> ''), "
+    "f AS (SELECT run_id, crawl_seq, site, url, day, 'body_text' AS field_name, string_split(body_text, chr(10)) AS lines FROM p UNION ALL SELECT run_id, crawl_seq, site, url, day, 'headings', headings FROM p), "
+    r"l AS (SELECT run_id, crawl_seq, site, url, day, field_name, generate_subscripts(lines, 1) - 1 AS line_no, regexp_replace(lower(unnest(lines)), '[^\p{L}]+', '', 'g') AS k FROM f), "
     "c AS (SELECT site, field_name, k FROM l WHERE k <> '' GROUP BY ALL HAVING count(DISTINCT url) >= 8)"
 )
 SQL: dict[str, str] = {
@@ -86,3 +92,12 @@ SQL["p5_clean"] = (
     "g AS (SELECT run_id, crawl_seq, list(line_no) FILTER (WHERE field_name = 'body_text') AS x, list(line_no) FILTER (WHERE field_name = 'headings') AS y FROM bad GROUP BY ALL) "
     "SELECT run_id, crawl_seq, array_to_string(list_filter(b, lambda v, i: NOT list_contains(coalesce(x, []), i - 1)), chr(10)) AS body_text, list_filter(h, lambda v, i: NOT list_contains(coalesce(y, []), i - 1)) AS headings FROM s LEFT JOIN g USING (run_id, crawl_seq)"
 )
+# a document is its two lists of letters; crawls of a page are one page, in the cluster of its least known one
+SQL["p5_lines"] = (
+    f"WITH {_LINES}, x AS (SELECT run_id, crawl_seq, list(k ORDER BY line_no) FILTER (WHERE field_name = 'body_text') AS b, list(k ORDER BY line_no) FILTER (WHERE field_name = 'headings') AS h FROM l GROUP BY ALL), "
+    "y AS (SELECT l.site, l.field_name, l.k, l.url, l.day, dense_rank() OVER (ORDER BY b, h) AS doc FROM l JOIN x USING (run_id, crawl_seq)), "
+    "z AS (SELECT site, field_name, k, url, min(doc) AS doc, min(day) AS day FROM y WHERE k <> '' GROUP BY ALL), "
+    "v AS (SELECT site, field_name, k, doc, count(*) AS n, min(day) AS day FROM z GROUP BY ALL), "
+    "w AS (SELECT site, field_name, k, CAST(sum(n) AS BIGINT) AS pages, count(*) AS clusters, CAST(count(DISTINCT day) AS INT) AS days FROM v GROUP BY ALL) "
+    "SELECT site, field_name, pages, clusters, days, count(*) AS line_count FROM w GROUP BY ALL"
+)
