@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from skarv.functions.arrow import slices
 from skarv.functions.jsonio import as_list, parse
 from skarv.functions.urls import normalize_url, url_col
-from skarv.operators.snapshots import chain, fetch_values, replay
-from skarv.runtime import cut
+from skarv.operators.bits import bit_set
+from skarv.operators.snapshots import SnapshotIndex, chain, fetch_values
+from skarv.runtime import cut, table_path
 from skarv.sources.tables import latest
 
 #: Reports that are Python objects at a time in a worker.
@@ -84,55 +85,79 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("target_url"), batch.column("completed_at"), batch.column("ingested_at"), pa.array(found, kind)], ["id", "target_url", "completed_at", "ingested_at", "pages"])
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.replace(".", "_") for f in FIELDS]
-    for batch in slices(batches, ROWS):
-        out: dict[str, list] = {k: [] for k in ("run_id", "ingested_at", "page_url", *names)}
-        for row in _rows(batch):
-            for url, values in (_site_pages(row) or {}).items():
-                for k, v in zip(out, (row["id"], row["ingested_at"], url, *values), strict=True):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[k], batch.schema.field("ingested_at").type if k == "ingested_at" else pa.string()) for k in out], list(out))
+def _page_hash(run_id: str, url: str) -> int:
+    return int.from_bytes(blake2b(f"{run_id}\0{url}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 _READ = ("id", "target_url", "status", "request_json", "report_json", "completed_at", "ingested_at")
 
 
 def audit_index(audit_runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(runs, rows) for `replay`: the snapshots of each target in order, and one row per page with the hash of its fields.
+    """(snapshots: target, snapshot, at; pages: snapshot and its pages with the hash of their fields).
 
-    Reads and parses every report once, then writes a table of hashes; report texts are never shuffled.
-    Snapshots of a target follow each other by completed_at (null first), then id.
+    Reads and parses every report once and writes a table of hashes; report texts are never shuffled.
     """
     src = audit_runs.select(*_READ).filter(F.col("id").isNotNull())
     times = {c: src.schema[c].dataType.simpleString() for c in ("completed_at", "ingested_at")}
-    # completed_at as text of fixed width would do as well; the types of the source are kept as they are
     indexed = src.mapInArrow(_index, f"id string, target_url string, completed_at {times['completed_at']}, ingested_at {times['ingested_at']}, pages array<struct<page_url:string,hash:binary>>")
     counted = cut(latest(indexed, ["id"], ["target_url", "completed_at", "pages"]).filter(F.col("pages").isNotNull()), "audit-index")
-    target = url_col(F.col("target_url"))
-    runs = chain(counted.select(F.col("id").alias("run_id"), target.alias("target"), "completed_at"), "target", "completed_at", "run_id")
-    runs = runs.withColumnsRenamed({"prev_id": "prev_run_id", "next_id": "next_run_id"})
-    rows = counted.select(F.col("id").alias("run_id"), F.inline("pages"))
-    return runs, rows
+    target = F.coalesce(url_col(F.col("target_url")), F.lit("\0"))
+    snapshots = counted.select(target.alias("target"), F.col("id").alias("snapshot"), F.col("completed_at").alias("at"))
+    return snapshots, counted.select(F.col("id").alias("snapshot"), "pages")
 
 
 def audit_changes(audit_runs: DataFrame) -> DataFrame:
-    """run_id, page_url, change_kind (added|removed|changed) of each site audit against the one before of its target.
+    """run_id, page_url, change_kind (added|removed|changed), prev_run_id of each site audit against the one before of its target.
 
-    Null ids are left out; unparsable reports, page-mode and unfinished runs are no snapshots; a snapshot without pages
+    The history is delivered to a `SnapshotIndex` in two rounds: the first snapshots of all targets make the index, all later
+    ones are probed against it and one another. Snapshots of a target follow each other by completed_at (null first), then id. Null ids are
+    left out, null targets are one target; unparsable reports, page-mode and unfinished runs are no snapshots; a snapshot without pages
     is one. Extra columns don't matter. An empty table gives no rows.
     """
-    runs, rows = audit_index(audit_runs)
-    return replay(rows, runs).select("run_id", "page_url", "change_kind", "prev_run_id")
+    spark = audit_runs.sparkSession
+    snapshots, pages = audit_index(audit_runs)
+    order = cut(chain(snapshots, "target", "at", "snapshot"), "audit-chain")
+    index = SnapshotIndex(spark, table_path(spark, "snapshot-index"), buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    firsts, laters = order.filter(F.col("prev_id").isNull()), order.filter(F.col("prev_id").isNotNull())
+    rounds = [
+        firsts.withColumns({"next_id": F.lit(None).cast("string"), "new": F.lit(True)}),
+        laters.withColumn("new", F.lit(True)).unionByName(firsts.filter(F.col("next_id").isNotNull()).withColumn("new", F.lit(False))),
+    ]
+    for linked in rounds:
+        rows = pages.join(linked.filter("new"), "snapshot").select("target", "snapshot", "prev_id", "next_id", F.inline("pages")).withColumnRenamed("page_url", "key")
+        changes = index.advance(rows, linked)
+    return changes.select(F.col("snapshot").alias("run_id"), F.col("key").alias("page_url"), "change_kind", F.col("prev").alias("prev_run_id"))
 
 
 def audit_field_changes(audit_runs: DataFrame) -> DataFrame:
-    """run_id, page_url, field, old_value, new_value: values fetched for the changed pages only."""
-    changes = cut(audit_changes(audit_runs), "audit-changes")
-    wanted = changes.filter(F.col("change_kind") == "changed")
-    need = wanted.select(F.explode(F.array("run_id", "prev_run_id")).alias("id")).distinct()
-    src = audit_runs.select(*_READ).join(need, "id", "left_semi").select(*_READ)
+    """run_id, page_url, field, old_value, new_value: values fetched for the changed pages only.
+
+    A bit set of the changed pages goes along with the second scan of the reports, so only their values (and a few others') leave it;
+    the join with the changes is exact.
+    """
+    wanted = cut(audit_changes(audit_runs).filter(F.col("change_kind") == "changed"), "audit-changes")
+    both = wanted.select(F.explode(F.array("run_id", "prev_run_id")).alias("id"), "page_url")
+    hashes = cut(both.mapInArrow(_hashed_pages, "h bigint"), "changed-pages")
+    changed = audit_runs.sparkSession.sparkContext.broadcast(bit_set(hashes, "h"))
     names = [f.replace(".", "_") for f in FIELDS]
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = changed.value
+        for batch in slices(batches, ROWS):
+            out: dict[str, list] = {k: [] for k in ("run_id", "ingested_at", "page_url", *names)}
+            for row in _rows(batch):
+                for url, fields in (_site_pages(row) or {}).items():
+                    if _page_hash(row["id"], url) in known:
+                        for k, v in zip(out, (row["id"], row["ingested_at"], url, *fields), strict=True):
+                            out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], batch.schema.field("ingested_at").type if k == "ingested_at" else pa.string()) for k in out], list(out))
+
+    src = audit_runs.select(*_READ).filter(F.col("id").isNotNull())
     kind = src.schema["ingested_at"].dataType.simpleString()
-    values = src.mapInArrow(_values, f"run_id string, ingested_at {kind}, page_url string, " + ", ".join(f"{n} string" for n in names))
-    return fetch_values(wanted, latest(values, ["run_id", "page_url"], names), "page_url", names)
+    got = src.mapInArrow(values, f"run_id string, ingested_at {kind}, page_url string, " + ", ".join(f"{n} string" for n in names))
+    return fetch_values(wanted, latest(got, ["run_id", "page_url"], names), "page_url", names)
+
+
+def _hashed_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(map(_page_hash, batch.column("id").to_pylist(), batch.column("page_url").to_pylist()), pa.int64())], ["h"])

@@ -76,8 +76,9 @@ def latest_report_with(audit_runs: DataFrame) -> DataFrame:
     """page_url, run_id: of each page the newest completed run whose report has it."""
     from skarv.operators.audits import audit_index
 
-    snapshots, rows = audit_index(audit_runs)
-    return rows.join(snapshots.select("run_id", "completed_at"), "run_id").groupBy("page_url").agg(F.max_by("run_id", F.struct("completed_at", "run_id")).alias("run_id"))
+    snapshots, pages = audit_index(audit_runs)
+    seen = pages.join(snapshots, "snapshot").select(F.col("snapshot").alias("run_id"), "at", F.explode("pages.page_url").alias("page_url"))
+    return seen.groupBy("page_url").agg(F.max_by("run_id", F.struct("at", "run_id")).alias("run_id"))
 
 
 def week_start(day: Column) -> Column:

@@ -1,18 +1,16 @@
 """What changed between full snapshots of a table: a bucketed key-to-hash index.
 
-The index holds, of the last snapshot of each target, one row per key: bucket, target, key and a 128-bit hash of the
-compared fields. A new snapshot is probed against it by (bucket, target, key); no value is read for that. Old values are
-fetched for changed keys only. Then the new rows become the index.
-
-Two ways to run it:
-
-* `SnapshotIndex.advance` takes one delivery at a time, writes the next index version beside the last and swaps a pointer.
-* `replay` takes a whole history. Each row enters the index generation of its snapshot and probes the generation before it;
-  all generations are probed in one shuffle keyed by (target, generation, key), so no target or page is a hot key.
+The index holds, of the last snapshot of each target, one row per key: target, bucket (of the key), key and a 128-bit hash of the
+compared fields, bucketed by (target, bucket) – so a hot target lies in many buckets, and a probe meets the index where
+it lies. A delivery of new snapshots is written once, in the same buckets, and probes the index by (target, bucket, key); no value is read for
+that. Then the last snapshots of the delivery replace those of their targets in the next version of the index, and a pointer is swapped.
+Old values are fetched for changed keys only (`fetch_values`).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,35 +35,6 @@ def chain(df: DataFrame, group: str, at: str, id_column: str) -> DataFrame:
     return both.select(*df.columns, F.coalesce("_prev", "_before").alias("prev_id"), F.coalesce("_next", "_after").alias("next_id"))
 
 
-def replay(rows: DataFrame, runs: DataFrame, key: str = "page_url") -> DataFrame:
-    """Changes between each snapshot and the one before it of the same target.
-
-    rows: run_id, `key`, hash – one row per key and snapshot. runs: run_id, prev_run_id (null for the first of its target) and
-    next_run_id (null for the last). Result: run_id (the later run), `key`, change_kind, and
-    prev_run_id. The first snapshot of a target gives no rows. A snapshot without any row still counts: then
-    all pages of the one before are removed.
-    """
-    tagged = rows.join(runs.select("run_id", "next_run_id", "prev_run_id"), "run_id")
-    # One scan: each row is put out as the probe of its own generation and as the index entry for the next one.
-    both = tagged.select(
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(F.col("prev_run_id").isNotNull(), F.struct(F.col("run_id").alias("run"), F.col("prev_run_id").alias("prev"), F.col("hash").alias("new"), F.lit(None).cast(rows.schema["hash"].dataType).alias("old"))),
-                    F.when(F.col("next_run_id").isNotNull(), F.struct(F.col("next_run_id").alias("run"), F.col("run_id").alias("prev"), F.lit(None).cast(rows.schema["hash"].dataType).alias("new"), F.col("hash").alias("old"))),
-                )
-            )
-        ).alias("e"),
-        key,
-    )
-    probed = both.groupBy(F.col("e.run").alias("run_id"), key).agg(F.max("e.new").alias("new"), F.max("e.old").alias("old"), F.max("e.prev").alias("prev_run_id"))
-    return (
-        probed.withColumn("change_kind", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed"))
-        .filter(F.col("change_kind").isNotNull())
-        .select("run_id", key, "change_kind", "prev_run_id")
-    )
-
-
 def fetch_values(changes: DataFrame, values: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Old and new values of changed keys only: one row per changed field.
 
@@ -81,46 +50,116 @@ def fetch_values(changes: DataFrame, values: DataFrame, key: str, fields: list[s
 
 
 class SnapshotIndex:
-    """Key-to-hash index of the last snapshot, kept as bucket-partitioned Parquet under `path`.
+    """Key-to-hash index of the last snapshot of each target, versions of it under `path`.
 
-    Versions lie in path/v=N; a version counts once its _SUCCESS file is there, so a job that dies while writing leaves
-    the last version in force. buckets: number of folders of a version; a probe of a whole snapshot reads them all.
+    path/v=N holds the index, path/heads-N each target's last snapshot, path/delivery-N and path/changes-N what version N was made of and
+    what it found; path/CURRENT names the version in force. It is written last, so a job that dies leaves the version before in force. buckets: files
+    of a version; parts: buckets over which a target's keys are spread.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64):
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, parts: int = 64):
+        self.spark, self.path, self.buckets, self.parts = spark, path.rstrip("/"), buckets, parts
+        self.name = "skarv_index_" + uuid.uuid4().hex[:12]
 
-    def _versions(self) -> list[int]:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(conf)
+    def _file(self, name: str):  # noqa: ANN202
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def version(self) -> int:
+        """The version in force, 0 before the first delivery."""
+        fs, p = self._file("CURRENT")
         if not fs.exists(p):
-            return []
-        found = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(int(n[2:]) for n in found if n.startswith("v=") and done(n))
+            return 0
+        stream = fs.open(p)
+        try:
+            return int(stream.readLine())
+        finally:
+            stream.close()
+
+    def _swap(self, version: int) -> None:
+        fs, new = self._file("CURRENT.new")
+        stream = fs.create(new, True)
+        stream.writeBytes(f"{version}\n")
+        stream.close()
+        _, current = self._file("CURRENT")
+        fs.delete(current, False)
+        fs.rename(new, current)
+
+    def _bucketed(self, df: DataFrame, name: str) -> DataFrame:
+        """df written in the buckets of (target, bucket), and read so that joins and groups on them need no shuffle."""
+        table = f"{self.name}_{name.replace('=', '_').replace('-', '_')}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        writer = df.repartition(self.buckets, "target", "bucket").write.mode("overwrite").option("path", f"{self.path}/{name}").option("compression", "zstd")
+        writer.bucketBy(self.buckets, "target", "bucket").saveAsTable(table)
+        return self.spark.table(table)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def heads(self) -> DataFrame | None:
+        """target, snapshot, at of each target's last snapshot, or None before the first delivery."""
+        v = self.version()
+        return self._read(f"heads-{v}") if v else None
 
     def current(self) -> DataFrame | None:
-        """bucket, key, hash of the version in force, or None before the first snapshot."""
-        v = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v={v[-1]}").select("bucket", self.key, "hash") if v else None
+        """target, bucket, key, hash of the version in force, or None before the first delivery."""
+        v = self.version()
+        return self._read(f"v={v}") if v else None
 
-    def advance(self, snapshot: DataFrame) -> DataFrame | None:
-        """Changes of `snapshot` (key, hash) against the index; None for the first. Writes and swaps the index.
+    def link(self, snapshots: DataFrame) -> DataFrame:
+        """target, snapshot, at, prev_id, next_id: new snapshots (target, snapshot, at) in their targets' order, after the heads.
 
-        Changes come from the version that was in force, which stays until the next call. Of equal keys the least
-        hash counts; a null key is a key like any other.
+        The heads that new snapshots follow are among the rows, as snapshots without prev_id.
+        """
+        new, heads = snapshots.select("target", "snapshot", "at"), self.heads()
+        if heads is None:
+            return chain(new.withColumn("new", F.lit(True)), "target", "at", "snapshot")
+        again = heads.join(new.select("target").distinct(), "target", "left_semi").select("target", "snapshot", "at")
+        return chain(new.withColumn("new", F.lit(True)).unionByName(again.withColumn("new", F.lit(False))), "target", "at", "snapshot")
+
+    def advance(self, rows: DataFrame, linked: DataFrame) -> DataFrame:
+        """Changes (target, snapshot, key, change_kind, prev) of a delivery; writes and swaps the index.
+
+        rows: target, snapshot, prev_id, next_id, key, hash of the delivered snapshots, one row per key and snapshot; linked: the table of
+        `link`. One target may come with several snapshots; each is compared with the one before it, the first of them
+        with the index. The first snapshot of a target gives no changes; a snapshot without rows removes all keys. Targets, keys and
+        snapshots aren't null.
         """
-        versions = self._versions()
-        new = snapshot.groupBy(self.key).agg(F.min("hash").alias("hash")).withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
-        nxt = f"{self.path}/v={(versions[-1] if versions else 0) + 1}"
-        new.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(nxt)
-        for v in versions[:-1]:
-            remove(self.spark, f"{self.path}/v={v}")
-        if not versions:
-            return None
-        n = self.spark.read.parquet(nxt).select("bucket", F.col(self.key).alias("_n"), F.col("hash").alias("_new"))
-        o = self.spark.read.parquet(f"{self.path}/v={versions[-1]}").select("bucket", F.col(self.key).alias("_o"), F.col("hash").alias("_old"))
-        both = n.join(o, (n["bucket"] == o["bucket"]) & n["_n"].eqNullSafe(o["_o"]), "full_outer")
-        kind = F.when(o["bucket"].isNull(), "added").when(n["bucket"].isNull(), "removed").when(~F.col("_new").eqNullSafe(F.col("_old")), "changed")
-        return both.select(F.when(n["bucket"].isNull(), F.col("_o")).otherwise(F.col("_n")).alias(self.key), kind.alias("change_kind")).filter(F.col("change_kind").isNotNull())
+        v = self.version() + 1
+        delivery = rows.select("target", F.pmod(F.xxhash64("key"), F.lit(self.parts)).cast("int").alias("bucket"), "key", "hash", "snapshot", "prev_id", "next_id")
+        delivery = self._bucketed(delivery, f"delivery-{v}")
+        none = F.lit(None).cast(delivery.schema["hash"].dataType)
+        keys = ["target", "bucket", "key"]
+        probe = F.when(F.col("prev_id").isNotNull(), F.struct(F.col("snapshot").alias("snapshot"), F.col("prev_id").alias("prev"), F.col("hash").alias("new"), none.alias("old")))
+        entry = F.when(F.col("next_id").isNotNull(), F.struct(F.col("next_id").alias("snapshot"), F.col("snapshot").alias("prev"), none.alias("new"), F.col("hash").alias("old")))
+        events = delivery.select(*keys, F.explode(F.array_compact(F.array(probe, entry))).alias("e")).select(*keys, "e.*")
+        stays = None
+        if v > 1:
+            index = self.spark.table(f"{self.name}_v_{v - 1}") if self._named(v - 1) else self._bucketed(self._read(f"v={v - 1}"), f"v={v - 1}-again")
+            parts = F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1)))
+            follows = linked.filter(~F.col("new")).select("target", F.col("snapshot").alias("prev"), F.col("next_id").alias("snapshot"), parts.alias("bucket"))
+            met = index.join(follows, ["target", "bucket"], "left")
+            events = events.unionByName(met.filter(F.col("snapshot").isNotNull()).select(*keys, "snapshot", "prev", none.alias("new"), F.col("hash").alias("old")))
+            stays = met.filter(F.col("snapshot").isNull()).select(*keys, "hash")
+        probed = events.groupBy(*keys, "snapshot").agg(F.max("new").alias("new"), F.max("old").alias("old"), F.max("prev").alias("prev"))
+        kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+        changes = probed.select("target", "snapshot", "key", kind.alias("change_kind"), "prev").filter(F.col("change_kind").isNotNull())
+        changes.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/changes-{v}")
+        lasts = delivery.filter(F.col("next_id").isNull()).select(*keys, "hash")
+        self._bucketed(lasts if stays is None else lasts.unionByName(stays), f"v={v}")
+        heads = linked.filter(F.col("new") & F.col("next_id").isNull()).select("target", "snapshot", "at")
+        before = self.heads()
+        if before is not None:
+            heads = heads.unionByName(before.join(heads.select("target"), "target", "left_anti"))
+        heads.write.mode("overwrite").parquet(f"{self.path}/heads-{v}")
+        self._swap(v)
+        return self._read(f"changes-{v}")
+
+    def _named(self, v: int) -> bool:
+        return self.spark.catalog.tableExists(f"{self.name}_v_{v}")
+
+    def drop_before(self, version: int) -> None:
+        """Forget the tables of versions before `version`; what their deliveries found goes with them."""
+        for v in range(1, version):
+            for name in (f"v={v}", f"v={v}-again", f"heads-{v}", f"delivery-{v}", f"changes-{v}"):
+                remove(self.spark, f"{self.path}/{name}")

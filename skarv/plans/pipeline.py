@@ -105,6 +105,22 @@ def _many_texts(field: str) -> str:
     return f"list_filter(list_transform({items}, lambda x: {text}), lambda x: x <> '')"
 
 
+def _field_changes() -> str:
+    """Old and new values of the fields of changed pages, from the same pages and chain as the changes."""
+    names = ("title", "metaDescription", "h1", "headings", "firstParagraph", "bodyText", "statusCode", "canonicalUrl", "noindex")
+    texts = {n: f"array_to_string({_many_texts(n)}, chr(31))" if n == "headings" else _one_text(n) for n in names}
+    texts["schema_types"] = f"array_to_string(list_sort(list_distinct({_many_texts('schema.types')})), chr(31))"
+    fields = "{" + ", ".join(f"'{n}': {t}" for n, t in texts.items()) + "}"
+    head = _changes().partition("new AS (")[0]
+    start, rest = head.split("u AS (SELECT id, ", 1)
+    head = start + f"u AS (SELECT id, {rest.partition(' AS url, ')[0]} AS url, {fields} AS k, i FROM p" + rest.split(" AS k, i FROM p", 1)[1]
+    each = ", ".join(f"{{'field': '{n}', 'old_value': o.k.{n}, 'new_value': n.k.{n}}}" for n in texts)
+    return (
+        f"{head.rstrip().rstrip(',')} SELECT run_id, page_url, v.field AS field, v.old_value AS old_value, v.new_value AS new_value FROM ("
+        f"SELECT c.id AS run_id, n.url AS page_url, unnest([{each}]) AS v FROM chain c JOIN g n ON n.id = c.id JOIN g o ON o.id = c.prev AND o.url = n.url) WHERE v.old_value <> v.new_value"
+    )
+
+
 def _changes() -> str:
     plain = [_one_text(f) for f in ("title", "metaDescription", "h1", "firstParagraph", "bodyText", "statusCode", "canonicalUrl", "noindex")]
     fields = " || chr(1) || ".join([*plain, f"array_to_string({_many_texts('headings')}, chr(2))", f"array_to_string(list_sort(list_distinct({_many_texts('schema.types')})), chr(2))"])
@@ -122,7 +138,7 @@ def _changes() -> str:
     )
 
 
-SQL: dict[str, str] = {"p1_found": _changes(), "p7_found": _relations()}
+SQL: dict[str, str] = {"p1_found": _changes(), "p1_fields": _field_changes(), "p7_found": _relations()}
 SQL["p7_runs"] = f"WITH {_RUNS.replace('status, completed_at,', 'status, error_message, created_at, started_at, heartbeat_at, completed_at,')} SELECT id AS run_id, target_url, status, error_message, created_at, started_at, heartbeat_at, completed_at FROM runs"
 
 

@@ -104,15 +104,33 @@ def test_random_history_against_brute_force(spark):
 
 
 def test_index_advances(spark, tmp_path):
-    index = SnapshotIndex(spark, f"file://{tmp_path}/index", "k", buckets=4)
-    df = lambda rows: spark.createDataFrame(rows, "k string, hash string")
-    assert index.advance(df([("a", "1"), ("b", "1"), (None, "1")])) is None
-    got = {(r.k, r.change_kind) for r in index.advance(df([("a", "2"), ("c", "1"), ("c", "1"), (None, "1")])).collect()}
-    assert got == {("a", "changed"), ("b", "removed"), ("c", "added")}
-    got = {(r.k, r.change_kind) for r in index.advance(df([("a", "2"), ("c", "1"), (None, "1")])).collect()}
-    assert got == set()
-    assert index.current().count() == 3
-    assert index.current().select(F.countDistinct("bucket")).first()[0] >= 1
+    """Delivery by delivery, and several snapshots of a target at once, against brute force."""
+    rnd = random.Random(4)
+    held, truth, got = {}, set(), set()
+    index = SnapshotIndex(spark, f"file://{tmp_path}/index", buckets=4, parts=3)
+    n = 0
+    for v in range(1, 4):
+        rows, snaps = [], []
+        for target in ("a", "b", "c"):
+            for _ in range(rnd.choice([0, 1, 2]) if v > 1 else 1):
+                n += 1
+                now = {f"k{i}": rnd.choice("xyz") for i in range(6) if rnd.random() < 0.6} if rnd.random() < 0.8 else {}
+                snaps.append((target, f"s{n:02}", day(n)))
+                rows += [(f"s{n:02}", k, h) for k, h in now.items()]
+                old = held.get(target)
+                if old is not None:
+                    truth |= {(f"s{n:02}", k, "added") for k in now.keys() - old.keys()} | {(f"s{n:02}", k, "removed") for k in old.keys() - now.keys()}
+                    truth |= {(f"s{n:02}", k, "changed") for k in now.keys() & old.keys() if now[k] != old[k]}
+                held[target] = now
+        linked = index.link(spark.createDataFrame(snaps, "target string, snapshot string, at timestamp_ntz"))
+        delivered = spark.createDataFrame(rows, "snapshot string, key string, hash string").join(linked, "snapshot")
+        got |= {(r.snapshot, r.key, r.change_kind) for r in index.advance(delivered, linked).collect()}
+        assert index.version() == v
+        assert {(r.target, r.key, r.hash) for r in index.current().collect()} == {(t, k, h) for t, m in held.items() for k, h in m.items()}
+    assert got == truth
+    assert SnapshotIndex(spark, index.path, 4, 3).version() == 3  # the pointer is in the folder
+    index.drop_before(3)
+    assert index.current().count() == sum(map(len, held.values()))
 
 
 def test_chain_in_two_steps(spark):
