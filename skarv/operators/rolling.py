@@ -2,20 +2,18 @@
 
 The state of a series on a day is, for each window, yesterday's total plus the day's arrivals minus the amounts of the day that
 expires. In batch (`rolling_totals`) that recurrence is a running sum over signed events: an amount enters on its day and
-leaves `w` days later. `RollingState` keeps versions of it and recomputes only the days that a correction touches.
+leaves `w` days later. `RollingState` carries it from delivery to delivery and recomputes only the days that a correction reaches.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skarv.runtime import remove
-
-#: Days that one state partition spans in `RollingState`.
-_EPOCH = "1970-01-01"
+from skarv.runtime import read_pointer, write_pointer
 
 
 def rolling_totals(daily: DataFrame, keys: list[str], metrics: list[str], windows: tuple[int, ...] = (7, 30)) -> DataFrame:
@@ -45,91 +43,135 @@ def rolling_totals(daily: DataFrame, keys: list[str], metrics: list[str], window
 
 
 class RollingState:
-    """Versioned daily state under `path`: one folder per version with a date's totals and amounts of every live series.
+    """Versioned daily state under `path`, carried from delivery to delivery.
+
+    state/v=N has one row per series as of its last dated day: its totals and the amounts that have still to expire, at most one for each
+    of the `max(windows)` days. totals/v=N has the days that version N computed. `advance` joins the state with new days:
+    a day's total is the day's before plus what arrived minus what expired, over skipped days too. `correct` recomputes the days
+    that corrected amounts reach, no others. path/CURRENT names the version in force and is written last.
 
-    `advance(day, arrivals)` joins yesterday's totals with the day's arrivals and the amounts of the expiring days;
-    `correct(amounts)` replaces amounts of past days and recomputes only the days up to `max(windows)` after each.
-    keys must not be null (rows with null keys are left out); metrics are numbers, null counts as 0.
+    Null keys form series like any other, null metrics count as 0, rows without date are ignored.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], metrics: list[str], windows: tuple[int, ...] = (7, 30)):
         self.spark, self.path, self.keys, self.metrics, self.windows = spark, path.rstrip("/"), keys, metrics, windows
+        self.sums = [f"{m}_sum_{w}" for m in metrics for w in windows]
+
+    def _versions(self) -> list[str]:
+        """The versions in force: a for days added, c for days corrected."""
+        return (read_pointer(self.spark, f"{self.path}/CURRENT") or "").split()
+
+    def _write(self, kind: str, totals: DataFrame, state: DataFrame) -> None:
+        done = self._versions()
+        n = len(done) + 1
+        write = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/v={n}")
+        with ThreadPoolExecutor(2) as both:  # two jobs that don't wait for one another
+            for job in [both.submit(write, totals, "totals"), both.submit(write, state, "state")]:
+                job.result()
+        write_pointer(self.spark, f"{self.path}/CURRENT", " ".join([*done, kind]))
+
+    def state(self) -> DataFrame | None:
+        """k (the keys), first, last, recent and METRIC_sum_W of each series as of its last dated day; None before the first delivery."""
+        n = len(self._versions())
+        return self.spark.read.parquet(f"{self.path}/state/v={n}") if n else None
+
+    def _totals(self) -> DataFrame:
+        kinds = self._versions()
+        read = [self.spark.read.parquet(f"{self.path}/totals/v={n}").withColumn("v", F.lit(n)) for n in range(1, len(kinds) + 1)]
+        rows = reduce(DataFrame.unionByName, read)
+        if "c" not in kinds:
+            return rows.drop("v")
+        over = reduce(DataFrame.unionByName, [r.select("k", "date", "v") for r, kind in zip(read, kinds) if kind == "c"])
+        over = over.groupBy("k", "date").agg(F.max("v").alias("_over"))
+        return rows.join(over, ["k", "date"], "left").filter(F.col("v") >= F.coalesce("_over", "v")).drop("v", "_over")
+
+    def totals(self) -> DataFrame:
+        """keys, date, METRIC_sum_W and METRIC_avg_W of every day from a series' first to its last dated day."""
+        out = [c for m in self.metrics for w in self.windows for c in (F.col(f"{m}_sum_{w}"), (F.col(f"{m}_sum_{w}") / F.lit(w)).alias(f"{m}_avg_{w}"))]
+        return self._totals().select(*[F.col("k")[k].alias(k) for k in self.keys], "date", *out)
+
+    def as_of(self, day: str) -> DataFrame:
+        """keys and METRIC_sum_W, METRIC_avg_W as of `day`, also of series without activity since; those that end after it are left out."""
+        until = F.lit(day).cast("date")
+        rows = self.state().filter(F.col("last") <= until)
+        sums = {f"{m}_sum_{w}": self._recent_sum(m, w, until) for m in self.metrics for w in self.windows}
+        out = [c for m in self.metrics for w in self.windows for c in (F.col(f"{m}_sum_{w}"), (F.col(f"{m}_sum_{w}") / F.lit(w)).alias(f"{m}_avg_{w}"))]
+        return rows.withColumns(sums).select(*[F.col("k")[k].alias(k) for k in self.keys], *out)
 
-    def _dir(self, kind: str, day: str) -> str:
-        return f"{self.path}/{kind}/date={day}"
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    @staticmethod
+    def _recent_sum(metric: str, window: int, until: Column) -> Column:
+        amounts = F.filter("recent", lambda x: x["date"] > F.date_sub(until, window))
+        return F.aggregate(amounts, F.lit(0).cast("bigint"), lambda a, x: a + x[metric])
 
-    def _version(self, kind: str, day: str) -> str | None:
-        """The latest complete version of a day's table, or None."""
-        n, found = 0, None
-        while self._exists(f"{self._dir(kind, day)}/v={n}"):
-            found, n = f"{self._dir(kind, day)}/v={n}", n + 1
-        return found
+    def _rows(self, arrivals: DataFrame) -> DataFrame:
+        amounts = [F.sum(F.coalesce(F.col(m), F.lit(0)).cast("bigint")).alias(m) for m in self.metrics]
+        return arrivals.filter(F.col("date").isNotNull()).groupBy(F.struct(*self.keys).alias("k"), "date").agg(*amounts)
 
-    def _write(self, df: DataFrame, kind: str, day: str) -> None:
-        old = self._version(kind, day)
-        n = int(old.rsplit("=", 1)[1]) + 1 if old else 0
-        df.write.mode("overwrite").parquet(f"{self._dir(kind, day)}/v={n}")
+    def _with_state(self, rows: DataFrame) -> DataFrame:
+        """State rows from dated amounts (k, date, metrics): of each series the last day, what has still to expire, and its totals."""
+        kept = rows.groupBy("k").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.sort_array(F.collect_list(F.struct("date", *self.metrics))).alias("recent"))
+        kept = kept.withColumn("recent", F.filter("recent", lambda x: x["date"] > F.date_sub("last", max(self.windows))))
+        return kept.withColumns({f"{m}_sum_{w}": self._recent_sum(m, w, F.col("last")) for m in self.metrics for w in self.windows})
 
-    def _read(self, kind: str, day: str) -> DataFrame | None:
-        at = self._version(kind, day)
-        return self.spark.read.parquet(at) if at else None
+    def advance(self, arrivals: DataFrame) -> None:
+        """Add days to the state: keys, date, metrics, each series' days after its last; several days and skipped days at once, as they come.
 
-    @staticmethod
-    def _back(day: str, n: int) -> str:
-        import datetime
-
-        return str(datetime.date.fromisoformat(day) - datetime.timedelta(n))
-
-    def amounts(self, rows: DataFrame) -> DataFrame:
-        """One row per series: the day's amounts added up."""
-        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in self.keys])
-        return rows.filter(known).groupBy(*self.keys).agg(*[F.sum(F.coalesce(F.col(m), F.lit(0))).alias(m) for m in self.metrics])
-
-    def advance(self, day: str, arrivals: DataFrame) -> DataFrame:
-        """Totals of `day`; writes the day's amounts and state. Series whose longest window is empty leave the state."""
-        self._write(self.amounts(arrivals), "amount", day)
-        return self._step(day)
-
-    def _step(self, day: str) -> DataFrame:
-        names = [f"{m}_sum_{w}" for m in self.metrics for w in self.windows]
-        signed = []
-        before = self._read("state", self._back(day, 1))
-        if before is not None:
-            signed.append(before.select(*self.keys, *names, *[F.lit(0).alias(f"_n{w}") for w in ()]))
-        today = self._read("amount", day)
-        if today is not None:
-            signed.append(today.select(*self.keys, *[F.col(m).alias(f"{m}_sum_{w}") for m in self.metrics for w in self.windows]))
-        for w in self.windows:
-            gone = self._read("amount", self._back(day, w))
-            if gone is not None:
-                signed.append(gone.select(*self.keys, *[(-F.col(m) if v == w else F.lit(0)).alias(f"{m}_sum_{v}") for m in self.metrics for v in self.windows]))
-        joined = reduce(DataFrame.unionByName, signed).groupBy(*self.keys).agg(*[F.sum(n).alias(n) for n in names])
-        live = reduce(lambda a, b: a | b, [F.col(n) != 0 for n in names])
-        self._write(joined.filter(live), "state", day)
-        return self._read("state", day)
-
-    def correct(self, day: str, rows: DataFrame, until: str) -> list[str]:
-        """Replace the amounts of `day` and recompute its state and those of the days it reaches, up to `until`; their dates.
-
-        The state before the corrected day is untouched, so the recurrence starts from there.
+        Rows of a series and day add up. Days up to a series' last are corrections (`correct`) and refused here.
+        """
+        fresh, before = self._rows(arrivals), self.state()
+        zero = {n: F.lit(0).cast("bigint") for n in self.sums}
+        if before is None:
+            rows = fresh.withColumns({"since": F.lit(None).cast("date"), **zero})
+            state = self._with_state(fresh)
+        else:
+            known = before.select("k", F.col("last").alias("since"))
+            fresh = fresh.join(known, "k", "left").withColumns(zero)
+            late = F.raise_error(F.lit("days up to the last of a series are corrections"))
+            fresh = fresh.withColumn("date", F.when(F.col("since").isNull() | (F.col("date") > F.col("since")), F.col("date")).otherwise(late.cast("date")))
+            met = before.join(fresh.select("k").distinct(), "k", "left_semi")
+            carried = met.select("k", "first", F.col("last").alias("since"), *self.sums, F.inline("recent"))
+            # yesterday's totals enter on the last day of the state
+            carried = carried.withColumns({n: F.when(F.col("date") == F.col("since"), F.col(n)).otherwise(F.lit(0)) for n in self.sums})
+            rows = fresh.unionByName(carried.drop("first"))
+            both = self._with_state(rows).join(before.select("k", F.col("first").alias("_first")), "k", "left")
+            state = both.withColumn("first", F.coalesce("_first", "first")).drop("_first")
+            state = state.unionByName(before.join(fresh.select("k").distinct(), "k", "left_anti"))
+        order = Window.partitionBy("k").orderBy("date")
+        last = F.coalesce(F.date_sub(F.lead("date").over(order), 1), F.col("date"))
+        dense = rows.withColumn("_last", last).select("k", F.col("date").alias("_of"), "since", *self.metrics, *self.sums, F.explode(F.sequence("date", "_last")).alias("date"))
+        here = F.col("date") == F.col("_of")
+        dense = dense.select("k", "since", "date", *[F.when(here, F.col(c)).otherwise(F.lit(0)).alias(c) for c in (*self.metrics, *self.sums)])
+        new = F.col("since").isNull() | (F.col("date") > F.col("since"))
+        steps = {f"{m}_sum_{w}": F.when(new, F.col(m) - F.coalesce(F.lag(m, w).over(order), F.lit(0))).otherwise(F.col(f"{m}_sum_{w}")) for m in self.metrics for w in self.windows}
+        stepped = dense.select("k", "since", "date", *self.metrics, *[c.alias(n) for n, c in steps.items()])
+        carry = order.rowsBetween(Window.unboundedPreceding, 0)
+        totals = stepped.select("k", "since", "date", *self.metrics, *[F.sum(n).over(carry).alias(n) for n in self.sums]).filter(new).drop("since")
+        self._write("a", totals, state)
+
+    def correct(self, rows: DataFrame) -> None:
+        """Replace the amounts of days: keys, date, metrics of series that the state has, up to their last days.
+
+        Only the days that a corrected amount reaches are computed again, `max(windows)` for each; days before a series' first are added.
+        Rows of other series and of later days are ignored.
         """
-        self._write(self.amounts(rows), "amount", day)
-        done, d = [], day
-        stop = min(until, self._back(day, -max(self.windows)))
-        while d <= stop:
-            self._step(d)
-            done.append(d)
-            d = self._back(d, -1)
-        return done
-
-    def state(self, day: str) -> DataFrame | None:
-        """keys and METRIC_sum_W as of `day`, the latest version."""
-        return self._read("state", day)
-
-    def drop_before(self, kind: str, day: str) -> None:
-        """Forget a day's table, all versions."""
-        remove(self.spark, self._dir(kind, day))
+        before, old = self.state(), self._totals()
+        longest = max(self.windows)
+        known = self._rows(rows).join(before.select("k", "first", "last"), "k").filter(F.col("date") <= F.col("last"))
+        had = old.select("k", "date", *[F.col(m).alias(f"_{m}") for m in self.metrics])
+        deltas = known.join(had, ["k", "date"], "left")
+        deltas = deltas.select("k", "date", "first", "last", *[(F.col(m) - F.coalesce(f"_{m}", F.lit(0))).alias(m) for m in self.metrics])
+        reach = F.explode(F.sequence("date", F.least(F.date_add("date", longest - 1), F.col("last")))).alias("to")
+        reached = deltas.select("k", "date", *self.metrics, reach)
+        within = lambda m, w: F.when(F.datediff("to", "date") < w, F.col(m)).otherwise(F.lit(0))
+        parts = [*[within(m, 1).alias(m) for m in self.metrics], *[within(m, w).alias(f"{m}_sum_{w}") for m in self.metrics for w in self.windows]]
+        names = [*self.metrics, *self.sums]
+        earlier = deltas.groupBy("k").agg(F.min("date").alias("date"), F.first("first").alias("first")).filter("date < first")
+        earlier = earlier.select("k", F.explode(F.sequence("date", F.date_sub("first", 1))).alias("date"), *[F.lit(0).cast("bigint").alias(n) for n in names])
+        change = reached.select("k", F.col("to").alias("date"), *parts).unionByName(earlier).groupBy("k", "date").agg(*[F.sum(n).alias(f"_{n}") for n in names])
+        again = change.join(old, ["k", "date"], "left").select("k", "date", *[(F.col(f"_{n}") + F.coalesce(n, F.lit(0))).alias(n) for n in names])
+        # the states of corrected series, from their recent amounts and the differences
+        touched = deltas.select("k", "date", *self.metrics)
+        recent = before.join(touched.select("k").distinct(), "k", "left_semi").select("k", F.inline("recent"))
+        merged = recent.unionByName(touched).groupBy("k", "date").agg(*[F.sum(m).alias(m) for m in self.metrics])
+        state = self._with_state(merged).join(before.select("k", F.col("first").alias("_first")), "k").withColumn("first", F.least("first", "_first")).drop("_first")
+        self._write("c", again, state.unionByName(before.join(touched.select("k").distinct(), "k", "left_anti")))

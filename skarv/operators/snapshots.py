@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skarv.runtime import remove
+from skarv.runtime import read_pointer, remove, write_pointer
 
 
 def chain(df: DataFrame, group: str, at: str, id_column: str) -> DataFrame:
@@ -61,29 +61,9 @@ class SnapshotIndex:
         self.spark, self.path, self.buckets, self.parts = spark, path.rstrip("/"), buckets, parts
         self.name = "skarv_index_" + uuid.uuid4().hex[:12]
 
-    def _file(self, name: str):  # noqa: ANN202
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
     def version(self) -> int:
         """The version in force, 0 before the first delivery."""
-        fs, p = self._file("CURRENT")
-        if not fs.exists(p):
-            return 0
-        stream = fs.open(p)
-        try:
-            return int(stream.readLine())
-        finally:
-            stream.close()
-
-    def _swap(self, version: int) -> None:
-        fs, new = self._file("CURRENT.new")
-        stream = fs.create(new, True)
-        stream.writeBytes(f"{version}\n")
-        stream.close()
-        _, current = self._file("CURRENT")
-        fs.delete(current, False)
-        fs.rename(new, current)
+        return int(read_pointer(self.spark, f"{self.path}/CURRENT") or 0)
 
     def _bucketed(self, df: DataFrame, name: str) -> DataFrame:
         """df written in the buckets of (target, bucket), and read so that joins and groups on them need no shuffle."""
@@ -152,7 +132,7 @@ class SnapshotIndex:
         if before is not None:
             heads = heads.unionByName(before.join(heads.select("target"), "target", "left_anti"))
         heads.write.mode("overwrite").parquet(f"{self.path}/heads-{v}")
-        self._swap(v)
+        write_pointer(self.spark, f"{self.path}/CURRENT", str(v))
         return self._read(f"changes-{v}")
 
     def _named(self, v: int) -> bool:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skarv.operators.audits import audit_changes, audit_field_changes
 from skarv.operators.grid import missing_days
-from skarv.operators.metrics import COUNTS, READINGS, page_grid, page_rolling
+from skarv.operators.metrics import READINGS, page_grid, page_rolling
 from skarv.operators.reports import RELATIONS, report_elements, report_tables, run_table
 from skarv.plans.pages import url_sql
 from skarv.sources.tables import table
@@ -37,8 +37,7 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
-    parts = [page_rolling(spark, d, n).withColumn("series_table", F.lit(n)) for n in COUNTS]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return page_rolling(spark, d)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -73,6 +73,34 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def read_pointer(spark: SparkSession, path: str) -> str | None:
+    """The line in a pointer file, None where there is none."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return stream.readLine()
+    finally:
+        stream.close()
+
+
+def write_pointer(spark: SparkSession, path: str, line: str) -> None:
+    """Write a line beside a pointer file and put it in its place."""
+    fs, new = _hadoop(spark, path + ".new")
+    stream = fs.create(new, True)
+    stream.writeBytes(line + "\n")
+    stream.close()
+    _, p = _hadoop(spark, path)
+    fs.delete(p, False)
+    fs.rename(new, p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path, whatever file system it is on."""
     jvm = spark.sparkContext._jvm

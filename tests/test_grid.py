@@ -83,22 +83,35 @@ def test_rolling_against_brute_force(spark):
     assert rolling_totals(df.limit(0), ["s"], ["n"]).count() == 0
 
 
-def test_state_carries_on_and_corrects(spark, tmp_path):
+def test_state_carries_on_over_skipped_days_and_corrects(spark, tmp_path):
     rnd = random.Random(2)
-    rows = [(s, d(t), rnd.randint(1, 9)) for s in ("a", "b") for t in range(6) if rnd.random() < 0.7]
-    state = RollingState(spark, f"file://{tmp_path}/state", ["s"], ["n"], (2, 3))
-    frame = lambda rs: spark.createDataFrame([(s, n) for s, _, n in rs], "s string, n bigint")
-    for t in range(6):
-        state.advance(str(d(t)), frame([r for r in rows if r[1] == d(t)]))
-    fixed = [r for r in rows if r[1] != d(3)] + [("a", d(3), 50)]
-    assert state.correct(str(d(3)), frame([("a", d(3), 50)]), str(d(5))) == [str(d(3)), str(d(4)), str(d(5))]
-    for t in (2, 3, 5):
-        want = {}
-        for s in ("a", "b"):
-            sums = tuple(sum(n for q, x, n in fixed if q == s and d(t - w) < x <= d(t)) for w in (2, 3))
-            if any(sums):
-                want[s] = sums
-        assert {r.s: (r.n_sum_2, r.n_sum_3) for r in state.state(str(d(t))).collect()} == want
+    schema = "s string, date date, n bigint, k string"
+    frame = lambda rs: spark.createDataFrame([(*r, "clash") for r in rs], schema)
+    state = RollingState(spark, f"file://{tmp_path}/state", ["s"], ["n"], (2, 5))
+    cells = {}
+    got = lambda: {(r.s, r.date): (r.n_sum_2, r.n_sum_5) for r in state.totals().collect()}
+    for days in ([0, 1], [2], [9, 10], [30]):  # the 3rd to 8th, and 11th to 29th, are skipped
+        rows = [(s, d(t), rnd.randint(1, 9)) for t in days for s in ("a", "b", None) if rnd.random() < 0.8]
+        state.advance(frame([*rows, ("a", None, 7)]))
+        cells |= {r[:2]: r[2] for r in rows}
+        assert got() == brute([(*k, v) for k, v in cells.items()], (2, 5))
+    rows = [("b", d(2), 50), (None, d(9), 0), ("a", d(-3), 4), ("a", d(30), 1), ("unknown", d(0), 1)]
+    last = {s: max(t for q, t in cells if q == s) for s in ("a", "b", None)}
+    state.correct(frame(rows))
+    cells |= {r[:2]: r[2] for r in rows if r[0] in last and r[1] <= last[r[0]]}
+    assert got() == brute([(*k, v) for k, v in cells.items()], (2, 5))
+    state.advance(frame([("b", d(32), 3), ("new", d(31), 2)]))
+    cells |= {("b", d(32)): 3, ("new", d(31)): 2}
+    assert got() == brute([(*k, v) for k, v in cells.items()], (2, 5))
+    at = {r.s: (r.n_sum_2, r.n_avg_5) for r in state.as_of(str(d(33))).collect()}
+    assert at["b"] == (3, sum(v for (s, t), v in cells.items() if s == "b" and t > d(28)) / 5) and at["new"] == (0, 2 / 5)
+
+
+def test_state_carried_after_a_skipped_day(spark, tmp_path):
+    state = RollingState(spark, f"file://{tmp_path}/state", ["s"], ["n"])
+    for t, n in ((0, 5), (2, 1)):
+        state.advance(spark.createDataFrame([("a", d(t), n)], "s string, date date, n bigint"))
+    assert [(r.n_sum_7, r.n_sum_30) for r in state.totals().orderBy("date").collect()] == [(5, 5), (5, 5), (6, 6)]
 
 
 def test_rolling_ignores_other_columns_and_repeated_names(spark):
