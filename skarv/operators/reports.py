@@ -32,30 +32,43 @@ RELATIONS = [
     "summary.providerScores",
 ]
 COLUMNS = {"report_json": "", "summary_json": "summary"}
-PLAN = Plan(COLUMNS, RELATIONS)
 #: The relations of the two JSON records themselves, for what they have once.
 ROOTS = {"report_json": "report", "summary_json": "summary"}
 
 
+def report_graphs(audit_runs: DataFrame) -> dict[str, tuple[list[str], list[str]]]:
+    """By JSON column all paths and the repeated ones; runs a job for each column. What comes to the driver is the schema."""
+    found = {}
+    for column in COLUMNS:
+        rows = schema_graph(audit_runs, column).select("path", "repeated").collect()
+        found[column] = ([r.path for r in rows], [r.path for r in rows if r.repeated])
+    return found
+
+
 def report_plan(audit_runs: DataFrame) -> Plan:
-    """A plan with every path that repeats in the reports and summaries, and RELATIONS; runs a job for each column."""
-    paths = set(RELATIONS)
+    """A plan for all that reports and summaries hold. RELATIONS count as repeated, whether a list was seen there or not."""
+    graphs = report_graphs(audit_runs)
     for column, prefix in COLUMNS.items():
-        many = schema_graph(audit_runs, column).filter("repeated").select("path").collect()
-        paths |= {f"{prefix}.{r.path}" if prefix else r.path for r in many}
-    return Plan.infer(list(paths), COLUMNS, ROOTS)
+        own = [r.removeprefix("summary.") for r in RELATIONS if r.startswith("summary.") == bool(prefix)]
+        graphs[column] = (graphs[column][0], sorted({*graphs[column][1], *own}))
+    return Plan.infer(graphs, COLUMNS, ROOTS)
 
 
 def report_tables(audit_runs: DataFrame) -> DataFrame:
-    """Like report_elements with values, for all that reports and summaries hold: every repeated path has a relation, and what
-    a record has once is in its row of `report` or `summary` (elem_path "")."""
+    """run_id, rel, elem_path, parent_rel, parent_path, table_name, value of all that reports and summaries hold: every repeated path has
+    a relation, and what a record has once is in its row of `report` or `summary` (elem_path "")."""
     return shred(audit_runs, "id", report_plan(audit_runs), by="ingested_at", with_values=True).withColumnRenamed("id", "run_id")
 
 
 def report_elements(audit_runs: DataFrame, with_values: bool = False) -> DataFrame:
-    """run_id, rel, elem_path, parent_rel, parent_path(, value) of each run's counting row, whatever its status."""
-    out = shred(audit_runs, "id", PLAN, by="ingested_at", with_values=with_values)
-    return out.withColumnRenamed("id", "run_id")
+    """run_id, rel, elem_path, parent_rel, parent_path(, table_name, value) of the lists named in RELATIONS, in each run's counting row.
+
+    The schema graph tells which of them there are at all; the others are not looked for.
+    """
+    graphs = report_graphs(audit_runs)
+    there = {f"{COLUMNS[c]}.{p}" if COLUMNS[c] else p for c, (paths, _) in graphs.items() for p in paths}
+    plan = Plan(COLUMNS, [r for r in RELATIONS if r in there])
+    return shred(audit_runs, "id", plan, by="ingested_at", with_values=with_values).withColumnRenamed("id", "run_id")
 
 
 def run_table(audit_runs: DataFrame) -> DataFrame:

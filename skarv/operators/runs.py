@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from skarv.functions.text import round1
 from skarv.functions.urls import url_col
-from skarv.operators.reports import PLAN, report_elements  # noqa: F401
-from skarv.operators.shred import relation
+from skarv.operators.shred import Plan, relation, shred
 from skarv.sources.tables import latest
 
 COLUMNS = ["target_url", "status", "request_json", "error_message", "created_at", "started_at", "heartbeat_at", "completed_at"]
@@ -57,7 +56,8 @@ def history(audit_runs: DataFrame) -> DataFrame:
 
 def summary_scores(audit_runs: DataFrame) -> DataFrame:
     """run_id, score_id, score of summary_json's category scores, as a relation."""
-    rows = report_elements(audit_runs.withColumn("report_json", F.lit(None).cast("string")), with_values=True)
+    plan = Plan({"summary_json": "summary"}, ["summary.categoryScores"])
+    rows = shred(audit_runs, "id", plan, by="ingested_at", with_values=True).withColumnRenamed("id", "run_id")
     return relation(rows, "run_id", "summary.categoryScores", {"id": "string", "score": "double"}).select("run_id", F.col("id").alias("score_id"), "score")
 
 

@@ -11,6 +11,7 @@ from skarv.operators.audits import audit_changes, audit_field_changes
 from skarv.operators.grid import missing_days
 from skarv.operators.metrics import READINGS, page_grid, page_rolling
 from skarv.operators.reports import RELATIONS, report_elements, report_tables, run_table
+from skarv.operators.shred import relation
 from skarv.plans.pages import url_sql
 from skarv.sources.tables import table
 
@@ -48,11 +49,31 @@ def p7_tables(spark: SparkSession, d: str) -> DataFrame:
     return report_tables(table(spark, d, "audit_runs"))
 
 
+def _flat(spark: SparkSession, d: str, name: str, columns: dict[str, str]) -> DataFrame:
+    rows = relation(report_tables(table(spark, d, "audit_runs")), "run_id", name, columns)
+    return rows.withColumnsRenamed({c: c.replace(".", "_").lower() for c in columns})
+
+
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The table that the category scores of reports and of summaries share."""
+    return _flat(spark, d, "categoryScores", {"id": "string", "label": "string", "weight": "double", "score": "double"})
+
+
+def p7_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of reports, with columns of the objects that a page has once."""
+    return _flat(spark, d, "pages", {"url": "string", "statusCode": "int", "clickDepth": "int", "schema.itemCount": "int", "rendering.renderingModel": "string"})
+
+
+def p7_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The patch blocks of implementation packs, tied to their packs."""
+    return _flat(spark, d, "implementationPacks.patchBlocks", {"id": "string", "label": "string", "content": "string"})
+
+
 def p7_runs(spark: SparkSession, d: str) -> DataFrame:
     return run_table(table(spark, d, "audit_runs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_grid, p4_rolling, p7_found, p7_tables, p7_runs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_grid, p4_rolling, p7_found, p7_tables, p7_scores, p7_pages, p7_blocks, p7_runs)}
 
 
 def _json(column: str) -> str:
@@ -72,8 +93,8 @@ _RUNS = (
 )
 
 
-def _relations() -> str:
-    """One CTE per relation, each from the rows of the nearest relation above it."""
+def _relations(last: str | None = None) -> str:
+    """One CTE per relation, each from the rows of the nearest relation above it. last: a query over them instead of their union."""
     ctes, parts = [], []
     for n, rel in enumerate(RELATIONS):
         above = max((m for m, r in enumerate(RELATIONS) if rel.startswith(r + ".")), key=lambda m: len(RELATIONS[m]), default=None)
@@ -87,7 +108,18 @@ def _relations() -> str:
         ctes.append(f"e{n} AS (SELECT id, above, {_elements('v')} AS items FROM ({base}))")
         ctes.append(f"r{n} AS (SELECT id, above || i AS path, v FROM (SELECT id, above, generate_subscripts(items, 1) - 1 AS i, unnest(items) AS v FROM e{n}) WHERE json_type(v) <> 'NULL')")
         parts.append(f"SELECT id AS run_id, '{rel}' AS rel, path AS elem_path FROM r{n}")
-    return f"WITH {_RUNS}, {', '.join(ctes)} " + " UNION ALL ".join(parts)
+    return f"WITH {_RUNS}, {', '.join(ctes)} " + (last or " UNION ALL ".join(parts))
+
+
+def _flat_sql(names: list[str], columns: dict[str, str]) -> str:
+    """One flat table over some relations; columns: path to type."""
+    get = lambda p, t: f"json_extract_string(v, '$.{p}')" if t == "VARCHAR" else f"CAST(json_extract(v, '$.{p}') AS {t})"
+    each = ", ".join(f"{get(p, t)} AS {p.replace('.', '_').lower()}" for p, t in columns.items())
+    parts = []
+    for name in names:
+        above = max((r for r in RELATIONS if name.startswith(r + ".")), key=len, default="summary" if name.startswith("summary.") else "report")
+        parts.append(f"SELECT id AS run_id, '{name}' AS rel, path AS elem_path, '{above}' AS parent_rel, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent_path, {each} FROM r{RELATIONS.index(name)}")
+    return _relations(" UNION ALL ".join(parts))
 
 
 def _folded(value: str) -> str:
@@ -138,6 +170,9 @@ def _changes() -> str:
 
 
 SQL: dict[str, str] = {"p1_found": _changes(), "p1_fields": _field_changes(), "p7_found": _relations()}
+SQL["p7_scores"] = _flat_sql(["categoryScores", "summary.categoryScores"], {"id": "VARCHAR", "label": "VARCHAR", "weight": "DOUBLE", "score": "DOUBLE"})
+SQL["p7_pages"] = _flat_sql(["pages"], {"url": "VARCHAR", "statusCode": "INT", "clickDepth": "INT", "schema.itemCount": "INT", "rendering.renderingModel": "VARCHAR"})
+SQL["p7_blocks"] = _flat_sql(["implementationPacks.patchBlocks"], {"id": "VARCHAR", "label": "VARCHAR", "content": "VARCHAR"})
 SQL["p7_runs"] = f"WITH {_RUNS.replace('status, completed_at,', 'status, error_message, created_at, started_at, heartbeat_at, completed_at,')} SELECT id AS run_id, target_url, status, error_message, created_at, started_at, heartbeat_at, completed_at FROM runs"
 
 
