@@ -123,9 +123,12 @@ def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
 
 
 def round1(c: Column) -> Column:
-    """One decimal; null, NaN and infinite as 0."""
+    """One decimal, half up; null, NaN and infinite as 0.
+
+    What is within half of 1e-9 of a half counts as one, so that the order in which a mean was added up makes no difference.
+    """
     ok = c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    return F.when(ok, F.round(c, 1)).otherwise(0.0)
+    return F.when(ok, F.round(F.round(c, 9), 1)).otherwise(0.0)
 
 
 def percent(part: Column, total: Column) -> Column:

@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarv.functions.text import round1
 from skarv.functions.unicode import tokens
-from skarv.operators.pages import FLAG_COLUMNS, KEYS, counting, flags, site_metrics, yes
+from skarv.operators.pages import FLAG_COLUMNS, KEYS, counting, flags, provider_scores, score_columns, site_metrics, site_scores, total_score, yes
 from skarv.runtime import cut
 
 
-def site_issues(metrics: DataFrame, least_answer: float = 60, least_share: float = 50) -> DataFrame:
-    """run_id, issue, level: rules over site metrics, each a condition of one row."""
+#: Issues in the order of their rules, with score, priority, providers, and the effort and impact of mending them.
+ISSUES = {
+    "rendering-csr": ("renderingAiAccessibility", "critical", "openai google bing perplexity citation", "Strategiske endringer", "Høy"),
+    "schema-mismatch": ("schemaSemanticSearch", "high", "google bing perplexity", "Middels innsats", "Høy"),
+    "orphan-pages": ("internalLinking", "high", "google bing openai citation", "Middels innsats", "Middels"),
+    "snippet-controls": ("zeroClickAiOverviews", "medium", "google bing openai perplexity citation", "Quick wins", "Middels"),
+    "answer-first": ("answerFirstContent", "high", "openai google bing perplexity citation", "Quick wins", "Høy"),
+    "trust-signals": ("citationAuthorityEntitySignals", "medium", "openai google bing perplexity citation", "Quick wins", "Middels"),
+    "freshness": ("contentFreshness", "medium", "google bing openai perplexity", "Quick wins", "Middels"),
+    "indexnow-readiness": ("technicalOptimization", "low", "bing", "Middels innsats", "Lav"),
+    "technical-metadata": ("technicalOptimization", "medium", "google bing openai citation", "Quick wins", "Middels"),
+}
+PRIORITIES = ["critical", "high", "medium", "low"]
+
+
+def site_issues(metrics: DataFrame, index_now: str = "unknown", least_answer: float = 60, least_share: float = 50, least_technical: float = 70) -> DataFrame:
+    """run_id, place, issue, category, priority, providers, effort, impact: rules over site metrics, each a condition of one row.
+
+    place: 0.. within the run, by priority, then in the order of the rules. index_now: verified, not-detected or unknown.
+    """
     m = F.col
     rules = {
-        ("csr-rendering", 4): m("render_heavy") > 0,
-        ("schema-differs", 3): m("mismatch") > 0,
-        ("orphans", 3): m("orphans") > 0,
-        ("snippet-limits", 2): m("restricted") > 0,
-        ("weak-answers", 3): m("answer_first") < least_answer,
-        ("no-sender", 2): m("transparent_share") < least_share,
-        ("undated", 2): m("dated_share") < least_share,
+        "rendering-csr": m("render_heavy") > 0,
+        "schema-mismatch": m("mismatch") > 0,
+        "orphan-pages": m("orphans") > 0,
+        "snippet-controls": m("restricted") > 0,
+        "answer-first": m("answer_first") < least_answer,
+        "trust-signals": m("transparent_share") < least_share,
+        "freshness": m("dated_share") < least_share,
+        "indexnow-readiness": F.lit(index_now != "verified"),
+        "technical-metadata": score_columns()["technicalOptimization"] < least_technical,
     }
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("issue"), F.lit(v).alias("level"))) for (n, v), c in rules.items()]))
-    return metrics.select("run_id", F.inline(found))
+    fields = ("issue", "category", "priority", "providers", "effort", "impact")
+    made = lambda n: F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, (n, *ISSUES[n]))])
+    ordered = sorted(ISSUES, key=lambda n: PRIORITIES.index(ISSUES[n][1]))
+    found = F.array_compact(F.array(*[F.when(rules[n], made(n)) for n in ordered]))
+    return metrics.select("run_id", F.posexplode(found).alias("place", "x")).select("run_id", "place", "x.*")
 
 
 def affected_pages(page_snapshots: DataFrame, most: int = 8) -> DataFrame:
@@ -36,10 +57,14 @@ def affected_pages(page_snapshots: DataFrame, most: int = 8) -> DataFrame:
     """
     f = flags()
     rules = {
-        "weak-answers": F.coalesce("answer_first_signals.direct_answer_likelihood", F.lit(0)) < 55,
-        "no-sender": ~f["transparent"],
-        "undated": ~f["dated"],
-        "thin-metadata": ~(f["titled"] & f["described"] & f["canonical"] & f["alt_ok"]),
+        "rendering-csr": f["render_heavy"],
+        "schema-mismatch": f["schema_mismatch"],
+        "orphan-pages": f["orphan"],
+        "snippet-controls": f["snippet_restricted"],
+        "answer-first": F.coalesce("answer_first_signals.direct_answer_likelihood", F.lit(0)) < 55,
+        "trust-signals": ~f["transparent"],
+        "freshness": ~f["dated"],
+        "technical-metadata": ~(f["titled"] & f["described"] & f["canonical"] & f["alt_ok"]),
     }
     pages = counting(page_snapshots, [*FLAG_COLUMNS, "url"]).filter(f["eligible"])
     hit = pages.select(*KEYS, "url", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("issue"))
@@ -87,36 +112,40 @@ def query_coverage(page_snapshots: DataFrame, queries: DataFrame) -> DataFrame:
     return both.select("domain", "page", "query", F.array_join(matched, " ").alias("matched"), F.array_join(missing, " ").alias("missing"), covered.alias("covered"))
 
 
-def site_gaps(metrics: DataFrame) -> DataFrame:
-    """run_id, gap, own, others: where a run's site lies behind the mean of all other runs' sites by a margin.
+#: By gap the metric compared and the margin by which the others have to be ahead.
+GAPS = {"schema-gap": ("schema_coverage", 10.0), "freshness-gap": ("freshness", 10.0), "answer-first-gap": ("answer_first", 8.0), "coverage-gap": ("eligible", 8.0)}
+
+
+def site_gaps(metrics: DataFrame, rivals: DataFrame) -> DataFrame:
+    """run_id, gap, own, others: where a run's site lies behind the mean of its competitors' sites by a margin.
 
-    The mean of the others comes from totals less the own value: aggregates over runs, put beside each run as scalars. The metrics
-    are written once, as each scalar reads them.
+    rivals: run_id, rival_run_id – the runs of the competitors' sites. Their metrics are rounded to one decimal before the mean is taken.
+    Runs without competitors have no gaps.
     """
     metrics = cut(metrics, "site-metrics")
-    margins = {"schema_coverage": 10.0, "freshness": 10.0, "answer_first": 8.0, "eligible": 8.0}
-    parts = []
-    n = metrics.agg(F.count("*")).scalar()
-    for name, margin in margins.items():
-        total = metrics.agg(F.sum(F.col(name).cast("double"))).scalar()
-        others = F.when(n > 1, (total - F.col(name)) / (n - 1))
-        rows = metrics.select("run_id", F.lit(name).alias("gap"), round1(F.col(name).cast("double")).alias("own"), others.alias("mean"))
-        parts.append(rows.filter(F.col("mean") > F.col("own") + margin).select("run_id", "gap", "own", round1(F.col("mean")).alias("others")))
-    return reduce(DataFrame.unionByName, parts)
+    names = [n for n, _ in GAPS.values()]
+    theirs = metrics.select(F.col("run_id").alias("rival_run_id"), *[round1(F.col(n).cast("double")).alias(n) for n in names])
+    means = rivals.join(theirs, "rival_run_id").groupBy("run_id").agg(*[F.avg(n).alias(f"_{n}") for n in names])
+    each = F.array(*[F.struct(F.lit(g).alias("gap"), F.col(n).cast("double").alias("own"), F.col(f"_{n}").alias("others"), F.lit(margin).alias("margin")) for g, (n, margin) in GAPS.items()])
+    rows = metrics.join(means, "run_id").select("run_id", F.inline(each)).filter(F.col("others") > F.col("own") + F.col("margin"))
+    return rows.select("run_id", "gap", round1(F.col("own")).alias("own"), round1(F.col("others")).alias("others"))
 
 
-def what_if(page_snapshots: DataFrame, as_of: str) -> DataFrame:
-    """run_id, metric, before, after: site metrics if every weak page (answer likelihood under 55) were rewritten well.
+def missing_clusters(own: DataFrame, theirs: DataFrame) -> DataFrame:
+    """run_id, cluster: the distinct clusters (run_id, name) of an audit's competitors that the audited site doesn't have."""
+    return theirs.select("run_id", F.col("name").alias("cluster")).distinct().join(own.select("run_id", F.col("name").alias("cluster")), ["run_id", "cluster"], "left_anti")
+
 
-    The rewrite is a projection (likelihood 92, a list, a question, dates where there were none); everything after it is the
-    same aggregate over the same site.
+def rewritten(page_snapshots: DataFrame, as_of: str, weak_only: bool = True) -> DataFrame:
+    """Snapshots as if every weak page (answer likelihood under 55), or every page, had been rewritten well.
+
+    The rewrite is a projection: likelihood 92, a list, a question, dates where there were none.
     """
-    pages = page_snapshots
-    weak = F.coalesce("answer_first_signals.direct_answer_likelihood", F.lit(0)) < 55
-    signals = pages.schema["answer_first_signals"].dataType
+    weak = F.coalesce("answer_first_signals.direct_answer_likelihood", F.lit(0)) < 55 if weak_only else F.lit(True)
+    signals = page_snapshots.schema["answer_first_signals"].dataType
     better = F.struct(*[(F.lit(92).cast(f.dataType) if f.name == "direct_answer_likelihood" else F.col(f"answer_first_signals.{f.name}")).alias(f.name) for f in signals.fields])
-    stamp = pages.schema["date_modified"].dataType
-    changed = pages.withColumns(
+    stamp = page_snapshots.schema["date_modified"].dataType
+    return page_snapshots.withColumns(
         {
             "answer_first_signals": F.when(weak, better).otherwise(F.col("answer_first_signals")),
             "faq_count": F.when(weak, F.greatest(F.coalesce("faq_count", F.lit(0)), F.lit(1))).otherwise(F.col("faq_count")),
@@ -124,9 +153,38 @@ def what_if(page_snapshots: DataFrame, as_of: str) -> DataFrame:
             "date_modified": F.when(weak & F.col("date_modified").isNull() & F.col("date_published").isNull(), F.lit(as_of).cast(stamp)).otherwise(F.col("date_modified")),
         }
     )
-    names = ["answer_first", "freshness", "dated_share", "faq_pages"]
-    long = lambda df, to: site_metrics(df, as_of).select("run_id", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.round(F.col(n).cast("double"), 6).alias(to)) for n in names])))
-    return long(pages, "before").join(long(changed, "after"), ["run_id", "metric"])
+
+
+def what_if(page_snapshots: DataFrame, as_of: str) -> DataFrame:
+    """run_id, score_id, before, after, change: all site scores and provider scores if every weak page were rewritten well.
+
+    Everything after the rewrite is the same aggregate over the same site. Topic clusters don't come into it, as a rewrite changes none.
+    """
+    sides = []
+    for name, pages in (("before", page_snapshots), ("after", rewritten(page_snapshots, as_of))):
+        metrics = cut(site_metrics(pages, as_of), f"metrics-{name}")
+        scores = site_scores(metrics).select("run_id", "score_id", F.col("score").alias(name))
+        sides.append(scores.unionByName(provider_scores(metrics).select("run_id", F.col("provider").alias("score_id"), F.col("score").alias(name))))
+    both = sides[0].join(sides[1], ["run_id", "score_id"])
+    return both.select("run_id", "score_id", "before", "after", round1(F.col("after") - F.col("before")).alias("change"))
+
+
+def page_impact(page_snapshots: DataFrame, as_of: str, n: int = 5) -> DataFrame:
+    """run_id, crawl_seq, before, after, change, rank_no: the n pages of each run that would score most above the site if rewritten.
+
+    before: the site's total score; after: the total of the rewritten page alone, each page as a site of its own. Ties by crawl order.
+    """
+    alone = F.concat_ws("#", "run_id", F.col("crawl_seq").cast("string"))
+    before = total_score(site_scores(site_metrics(page_snapshots, as_of))).select("run_id", F.col("total").alias("before"))
+    own = counting(page_snapshots, [*FLAG_COLUMNS, "list_count"]).filter(flags()["eligible"])
+    names = own.select(*KEYS, alone.alias("page"))
+    single = rewritten(own.withColumns({"run_id": alone, "ingested_at": F.lit(0)}), as_of, weak_only=False)
+    after = total_score(site_scores(site_metrics(single, as_of))).select(F.col("run_id").alias("page"), F.col("total").alias("after"))
+    both = names.join(after, "page").join(before, "run_id")
+    change = round1(F.col("after") - F.col("before"))
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("change"), "crawl_seq"))
+    rows = both.select(*KEYS, "before", "after", change.alias("change")).withColumn("rank_no", rank)
+    return rows.filter(F.col("rank_no") <= n)
 
 
 def markdown_lists(rows: DataFrame, key: str, heading: str, item: str) -> DataFrame:

@@ -118,44 +118,66 @@ def site_metrics(page_snapshots: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-#: Providers in their order, and the weights of the site scores (they add up to 100).
+#: Providers in their order, and the site scores in theirs with their weights (they add up to 100).
 PROVIDERS = ["openai", "google", "bing", "perplexity", "citation"]
-WEIGHTS = {"crawlability": 16, "rendering": 14, "answer_first": 12, "citation": 10, "schema": 10, "linking": 10, "zero_click": 8, "freshness": 5, "technical": 5, "clusters": 10}
-
+WEIGHTS = {
+    "crawlabilityIndexation": 16,
+    "renderingAiAccessibility": 14,
+    "answerFirstContent": 12,
+    "citationAuthorityEntitySignals": 10,
+    "schemaSemanticSearch": 10,
+    "internalLinking": 10,
+    "searchIntentTopicClusters": 10,
+    "zeroClickAiOverviews": 8,
+    "contentFreshness": 5,
+    "technicalOptimization": 5,
+}
 
-def site_scores(metrics: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
-    """run_id, score_id, score, weight: the site scores in long form.
 
-    clusters: run_id, leader, size, intent (see `clusters.topic_clusters`); without them that score is left out.
-    """
+def score_columns() -> dict[str, Column]:
+    """The site scores (0..100, one decimal) over a row of site metrics and cluster statistics, in the order of WEIGHTS."""
     m = F.col
-    if clusters is not None:
-        stats = clusters.groupBy("run_id").agg(F.count("*").alias("n_clusters"), F.countDistinct("intent").alias("n_intents"), F.count_if(F.col("size") == 1).alias("n_single"))
-        metrics = metrics.join(stats, "run_id", "left").fillna(0, ["n_clusters", "n_intents", "n_single"])
     n = F.greatest(m("eligible"), F.lit(1))
     pct = lambda c: percent(m(c), n)
     any_faq = m("faq_pages") > 0
+    wanted = F.greatest(F.lit(3), F.floor(n / 10))
     scores = {
-        "crawlability": 100 - m("blocked") * 4 - m("noindex") * 3 - m("broken") * 5 - round1(pct("orphans") * 0.7),
-        "rendering": 100 - round1(pct("render_heavy") * 1.1) - F.when(m("max_depth") > 5, 8).otherwise(0),
-        "answer_first": m("answer_first") * 0.8 + F.when(any_faq, 12).otherwise(0),
-        "citation": m("cited_share") * 0.55 + m("transparent_share") * 0.45,
-        "schema": m("schema_coverage") * 0.75 + F.when(m("mismatch") == 0, 15).otherwise(0) - m("mismatch") * 4,
-        "linking": 100 - round1(pct("orphans") * 0.8) - round1(pct("deep") * 0.4),
-        "zero_click": m("answer_first") * 0.5 + m("schema_coverage") * 0.2 + F.when(m("restricted") > 0, -20).otherwise(15) + F.when(any_faq, 15).otherwise(0),
-        "freshness": m("dated_share") * 0.4 + m("freshness") * 0.6,
-        "technical": m("titled_share") * 0.25 + m("described_share") * 0.2 + m("canonical_share") * 0.2 + m("alt_ok_share") * 0.2 + m("transcribed_share") * 0.15,
+        "crawlabilityIndexation": 100 - m("blocked") * 4 - m("noindex") * 3 - m("broken") * 5 - round1(pct("orphans") * 0.7),
+        "renderingAiAccessibility": 100 - round1(pct("render_heavy") * 1.1) - F.when(m("max_depth") > 5, 8).otherwise(0),
+        "answerFirstContent": m("answer_first") * 0.8 + F.when(any_faq, 12).otherwise(0),
+        "citationAuthorityEntitySignals": m("cited_share") * 0.55 + m("transparent_share") * 0.45,
+        "schemaSemanticSearch": m("schema_coverage") * 0.75 + F.when(m("mismatch") == 0, 15).otherwise(0) - m("mismatch") * 4,
+        "internalLinking": 100 - round1(pct("orphans") * 0.8) - round1(pct("deep") * 0.4),
+        "searchIntentTopicClusters": F.least(F.lit(1.0), m("n_clusters") / wanted) * 62 + F.least(F.lit(1.0), m("n_intents") / 4) * 30 - F.least(F.lit(20), m("n_single") * 3) + 8,
+        "zeroClickAiOverviews": m("answer_first") * 0.5 + m("schema_coverage") * 0.2 + F.when(m("restricted") > 0, -20).otherwise(15) + F.when(any_faq, 15).otherwise(0),
+        "contentFreshness": m("dated_share") * 0.4 + m("freshness") * 0.6,
+        "technicalOptimization": m("titled_share") * 0.25 + m("described_share") * 0.2 + m("canonical_share") * 0.2 + m("alt_ok_share") * 0.2 + m("transcribed_share") * 0.15,
     }
-    if clusters is not None:
-        wanted = F.greatest(F.lit(3), F.floor(n / 10))
-        scores["clusters"] = F.least(F.lit(1.0), m("n_clusters") / wanted) * 62 + F.least(F.lit(1.0), m("n_intents") / 4) * 30 - F.least(F.lit(20), m("n_single") * 3) + 8
-    long = F.array(*[F.struct(F.lit(k).alias("score_id"), round1(clamp(v.cast("double"))).alias("score"), F.lit(WEIGHTS[k]).alias("weight")) for k, v in scores.items()])
-    return metrics.select("run_id", F.inline(long))
+    return {k: round1(clamp(scores[k].cast("double"))) for k in WEIGHTS}
+
+
+def with_clusters(metrics: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """metrics with n_clusters, n_intents, n_single of each run's topic clusters; 0 without clusters (an audit of one page has none)."""
+    names = ["n_clusters", "n_intents", "n_single"]
+    if clusters is None:
+        return metrics.withColumns({n: F.lit(0) for n in names})
+    stats = clusters.groupBy("run_id").agg(F.count("*").alias("n_clusters"), F.countDistinct("intent").alias("n_intents"), F.count_if(F.col("size") == 1).alias("n_single"))
+    return metrics.join(stats, "run_id", "left").fillna(0, names)
+
+
+def site_scores(metrics: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """run_id, score_id, score, weight: the site scores in long form.
+
+    clusters: run_id, leader, size, intent (see `clusters.topic_clusters`); without them the runs count as audits of one page.
+    """
+    long = F.array(*[F.struct(F.lit(k).alias("score_id"), c.alias("score"), F.lit(WEIGHTS[k]).alias("weight")) for k, c in score_columns().items()])
+    return with_clusters(metrics, clusters).select("run_id", F.inline(long))
 
 
 def total_score(scores: DataFrame) -> DataFrame:
     """run_id, total: the weighted mean of the scores, one decimal."""
-    return scores.groupBy("run_id").agg(round1(F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("total"))
+    tenths = F.sum(F.round(F.col("score") * 10).cast("long") * F.col("weight"))  # whole numbers add up alike in any order
+    return scores.groupBy("run_id").agg(round1(tenths / F.sum("weight") / 10).alias("total"))
 
 
 def provider_scores(metrics: DataFrame, verified: bool = False) -> DataFrame:
@@ -175,6 +197,10 @@ def provider_scores(metrics: DataFrame, verified: bool = False) -> DataFrame:
 #: Words and patterns of the answer check.
 QUESTION_WORDS = ["hva", "hvem", "hvordan", "hvorfor", "når", "where", "what", "who", "how", "why", "when", "which"]
 BOILERPLATE_WORDS = r"(?iu)velkommen til|les mer om|kontakt oss|her finner du|på denne siden|vi tilbyr|thank you for visiting|this (page|site|website) (is|contains|provides)|cookie|privacy policy|all rights reserved"
+UNITS = ["%", "kr", "nok", "usd", "eur", "gbp", "prosent", "percent", "million", "billion", "milliard"]
+WORD_UNITS = ["months?", "days?", "weeks?"]
+#: Digits before a unit (a year right behind them, months, days and weeks as words of their own), or two digits or more by themselves.
+NUMBERS = rf"(?iu)\d+[.,]?\d*\s*({'|'.join(UNITS)}|(?<=[A-Za-z0-9_])år{RIGHT}|{LEFT}({'|'.join(WORD_UNITS)}){RIGHT})|{LEFT}\d{{2,}}{RIGHT}"
 DEFINITION = f"(?iu){LEFT}(er|betyr|defineres som|means|is|refers to|stands for){RIGHT}"
 
 
@@ -185,7 +211,7 @@ def answer_quality() -> Column:
     n = F.length(opening)
     # fixed values: units, pronouns, lengths and points
     defines = (n > 20) & opening.rlike(DEFINITION)
-    numbers = opening.rlike(r"(?iu)\d\s*(%|kr|nok|usd|eur|gbp|months?|days?|weeks?|prosent|percent|million|billion|milliard)|\d\d")
+    numbers = opening.rlike(NUMBERS)
     size_part = F.when((n >= 60) & (n <= 350), 0.4).when(n > 350, 0.2).otherwise(0.3)
     long_words = F.size(F.filter(F.split(opening, r"\s+"), lambda w: F.length(w) > 2))
     word_part = F.when(long_words >= 5, 0.6).when(long_words >= 3, 0.3).otherwise(0.0)

@@ -118,6 +118,10 @@ def page_overview(pages: DataFrame, queries: DataFrame, landings: DataFrame, n:
     return search.join(landing, ["domain", "page"], "full_outer").join(tops, ["domain", "page"], "left")
 
 
+#: The kinds of opportunities.
+KINDS = ["high-impressions-low-ctr", "near-page-one", "traffic-down", "high-traffic-low-conversion", "query-gap"]
+
+
 def opportunities(pages: DataFrame, queries: DataFrame, landings: DataFrame, as_of: str, least: dict[str, float] | None = None) -> DataFrame:
     """domain, kind, subject, level, measure: pages and queries worth a look. Thresholds are parameters (`least`).
 
@@ -130,11 +134,11 @@ def opportunities(pages: DataFrame, queries: DataFrame, landings: DataFrame, as_
     gaps = uncovered_queries(queries, p["pair"], p["query"])
     row = lambda df, kind, subject, level, measure: df.select("domain", F.lit(kind).alias("kind"), F.col(subject).alias("subject"), level.alias("level"), measure.cast("double").alias("measure"))
     parts = [
-        row(totals.filter((F.col("impressions") >= p["impressions"]) & (F.col("ctr") < p["ctr"]) & (F.col("position") <= p["position"])), "low-ctr", "page", F.when(F.col("impressions") >= 5000, 4).when(F.col("impressions") >= 2000, 3).otherwise(2), F.col("impressions")),
-        row(totals.filter((F.col("position") >= p["near_low"]) & (F.col("position") <= p["near_high"]) & (F.col("impressions") >= p["near_impressions"])), "near-first-page", "page", F.when(F.col("position") <= 15, 3).otherwise(2), F.col("impressions")),
-        row(trend.filter((F.col("recent_rows") > 0) & (F.col("before") >= p["prior_clicks"]) & (F.col("recent") < F.col("before") * p["drop"])), "falling", "page", F.when(F.col("recent") * 2 <= F.col("before"), 4).otherwise(3), F.col("before") - F.col("recent")),
-        row(landing.filter((F.col("sessions") >= p["sessions"]) & (F.col("conversions") < F.col("sessions") * p["rate"])), "low-conversion", "page", F.when(F.col("sessions") >= 1000, 4).otherwise(3), F.col("sessions")),
-        row(gaps, "uncovered-query", "query", F.when(F.col("impressions") >= 500, 3).otherwise(2), F.col("impressions")),
+        row(totals.filter((F.col("impressions") >= p["impressions"]) & (F.col("ctr") < p["ctr"]) & (F.col("position") <= p["position"])), KINDS[0], "page", F.when(F.col("impressions") >= 5000, 4).when(F.col("impressions") >= 2000, 3).otherwise(2), F.col("impressions")),
+        row(totals.filter((F.col("position") >= p["near_low"]) & (F.col("position") <= p["near_high"]) & (F.col("impressions") >= p["near_impressions"])), KINDS[1], "page", F.when(F.col("position") <= 15, 3).otherwise(2), F.col("impressions")),
+        row(trend.filter((F.col("recent_rows") > 0) & (F.col("before") >= p["prior_clicks"]) & (F.col("recent") < F.col("before") * p["drop"])), KINDS[2], "page", F.when(F.col("recent") * 2 <= F.col("before"), 4).otherwise(3), F.col("before") - F.col("recent")),
+        row(landing.filter((F.col("sessions") >= p["sessions"]) & (F.col("conversions") < F.col("sessions") * p["rate"])), KINDS[3], "page", F.when(F.col("sessions") >= 1000, 4).otherwise(3), F.col("sessions")),
+        row(gaps, KINDS[4], "query", F.when(F.col("impressions") >= 500, 3).otherwise(2), F.col("impressions")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

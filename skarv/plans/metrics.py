@@ -132,11 +132,11 @@ def _windows(spark: SparkSession, d: str) -> list[DataFrame]:
 
 FOUND = (
     f"{PAGE}, {QUERY}, {LANDING}, pt AS ({PAGE_TOTALS}), tr AS ({TREND}), {GAPS.format(pair=50, least=100)}, lt AS (SELECT domain, page, sum(sessions) AS sessions, sum(conversions) AS conversions FROM c_ga4_landing_page_daily GROUP BY ALL), found AS ("
-    "SELECT domain, 'low-ctr' AS kind, page AS subject, CASE WHEN impressions >= 5000 THEN 4 WHEN impressions >= 2000 THEN 3 ELSE 2 END AS level, CAST(impressions AS DOUBLE) AS measure FROM pt WHERE impressions >= 500 AND ctr < 0.03 AND position <= 10 UNION ALL "
-    "SELECT domain, 'near-first-page', page, CASE WHEN position <= 15 THEN 3 ELSE 2 END, CAST(impressions AS DOUBLE) FROM pt WHERE position >= 11 AND position <= 20 AND impressions >= 100 UNION ALL "
-    "SELECT domain, 'falling', page, CASE WHEN recent * 2 <= before THEN 4 ELSE 3 END, CAST(before - recent AS DOUBLE) FROM tr WHERE recent_rows > 0 AND before >= 50 AND recent < before * 0.7 UNION ALL "
-    "SELECT domain, 'low-conversion', page, CASE WHEN sessions >= 1000 THEN 4 ELSE 3 END, CAST(sessions AS DOUBLE) FROM lt WHERE sessions >= 200 AND conversions < sessions * 0.01 UNION ALL "
-    "SELECT domain, 'uncovered-query', query, CASE WHEN impressions >= 500 THEN 3 ELSE 2 END, CAST(impressions AS DOUBLE) FROM gaps)"
+    "SELECT domain, 'high-impressions-low-ctr' AS kind, page AS subject, CASE WHEN impressions >= 5000 THEN 4 WHEN impressions >= 2000 THEN 3 ELSE 2 END AS level, CAST(impressions AS DOUBLE) AS measure FROM pt WHERE impressions >= 500 AND ctr < 0.03 AND position <= 10 UNION ALL "
+    "SELECT domain, 'near-page-one', page, CASE WHEN position <= 15 THEN 3 ELSE 2 END, CAST(impressions AS DOUBLE) FROM pt WHERE position >= 11 AND position <= 20 AND impressions >= 100 UNION ALL "
+    "SELECT domain, 'traffic-down', page, CASE WHEN recent * 2 <= before THEN 4 ELSE 3 END, CAST(before - recent AS DOUBLE) FROM tr WHERE recent_rows > 0 AND before >= 50 AND recent < before * 0.7 UNION ALL "
+    "SELECT domain, 'high-traffic-low-conversion', page, CASE WHEN sessions >= 1000 THEN 4 ELSE 3 END, CAST(sessions AS DOUBLE) FROM lt WHERE sessions >= 200 AND conversions < sessions * 0.01 UNION ALL "
+    "SELECT domain, 'query-gap', query, CASE WHEN impressions >= 500 THEN 3 ELSE 2 END, CAST(impressions AS DOUBLE) FROM gaps)"
 )
 
 

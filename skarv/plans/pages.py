@@ -109,7 +109,51 @@ def site_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(P.site_metrics(_snap(spark, d), AS_OF))
 
 
-@query()  # one decimal of sums of doubles: ties fall differently in the two engines, so tests compare with a tolerance
+def metrics_sql(source: str, name: str) -> str:
+    """The CTEs of site metrics over another table of pages."""
+    text = METRICS.replace("f AS (", f"f_{name} AS (", 1).replace("FROM pages)", f"FROM {source})", 1)
+    return text.replace("metrics AS (", f"{name} AS (", 1).replace("FROM f GROUP", f"FROM f_{name} GROUP", 1)
+
+
+def one_decimal(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(18, 9)), 1) AS DOUBLE)"
+
+
+_FAQ, _ELIGIBLE = "CASE WHEN faq_pages > 0 THEN {} ELSE 0 END", "CAST({} AS DOUBLE) * 100 / greatest(eligible, 1)"
+#: The site scores of an audit without topic clusters, over a row of metrics.
+SCORES_SQL = {
+    "crawlabilityIndexation": f"100 - blocked * 4 - noindex * 3 - broken * 5 - {one_decimal(_ELIGIBLE.format('orphans') + ' * 0.7')}",
+    "renderingAiAccessibility": f"100 - {one_decimal(_ELIGIBLE.format('render_heavy') + ' * 1.1')} - (CASE WHEN max_depth > 5 THEN 8 ELSE 0 END)",
+    "answerFirstContent": f"answer_first * 0.8 + {_FAQ.format(12)}",
+    "citationAuthorityEntitySignals": "cited_share * 0.55 + transparent_share * 0.45",
+    "schemaSemanticSearch": "schema_coverage * 0.75 + (CASE WHEN mismatch = 0 THEN 15 ELSE 0 END) - mismatch * 4",
+    "internalLinking": f"100 - {one_decimal(_ELIGIBLE.format('orphans') + ' * 0.8')} - {one_decimal(_ELIGIBLE.format('deep') + ' * 0.4')}",
+    "searchIntentTopicClusters": "8",
+    "zeroClickAiOverviews": f"answer_first * 0.5 + schema_coverage * 0.2 + (CASE WHEN restricted > 0 THEN -20 ELSE 15 END) + {_FAQ.format(15)}",
+    "contentFreshness": "dated_share * 0.4 + freshness * 0.6",
+    "technicalOptimization": "titled_share * 0.25 + described_share * 0.2 + canonical_share * 0.2 + alt_ok_share * 0.2 + transcribed_share * 0.15",
+}
+
+
+def _score(k: str) -> str:
+    return one_decimal(f"least(100.0, greatest(0.0, CAST({SCORES_SQL[k]} AS DOUBLE)))")
+
+
+def scores_sql(metrics: str) -> str:
+    return " UNION ALL ".join(f"SELECT run_id, '{k}' AS score_id, {_score(k)} AS score, {P.WEIGHTS[k]} AS weight FROM {metrics}" for k in SCORES_SQL)
+
+
+def totals_sql(scores: str) -> str:
+    return f"SELECT run_id, {one_decimal('CAST(sum(CAST(round(score * 10) AS BIGINT) * weight) AS DOUBLE) / sum(weight) / 10')} AS total FROM {scores} GROUP BY run_id"
+
+
+@query(f"WITH {PAGES}, {METRICS} {scores_sql('metrics')}")
+def page_mode_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of every run as of an audit without topic clusters."""
+    return P.site_scores(P.site_metrics(_snap(spark, d), AS_OF))
+
+
+@query()  # topic clusters are led by crawl order: SQL has no such fold
 def site_scores(spark: SparkSession, d: str) -> DataFrame:
     return P.site_scores(P.site_metrics(_snap(spark, d), AS_OF), C.topic_clusters(_snap(spark, d)))
 
@@ -119,9 +163,9 @@ def provider_scores(spark: SparkSession, d: str) -> DataFrame:
     return P.provider_scores(P.site_metrics(_snap(spark, d), AS_OF))
 
 
-@query()
+@query(f"WITH {PAGES}, {METRICS}, scores AS ({scores_sql('metrics')}) {totals_sql('scores')}")
 def total_scores(spark: SparkSession, d: str) -> DataFrame:
-    return P.total_score(P.site_scores(P.site_metrics(_snap(spark, d), AS_OF), C.topic_clusters(_snap(spark, d))))
+    return P.total_score(P.site_scores(P.site_metrics(_snap(spark, d), AS_OF)))
 
 
 @query()
@@ -273,20 +317,43 @@ def topic_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 # findings
+_ISSUES = {
+    "rendering-csr": "render_heavy > 0",
+    "schema-mismatch": "mismatch > 0",
+    "orphan-pages": "orphans > 0",
+    "snippet-controls": "restricted > 0",
+    "answer-first": "answer_first < 60",
+    "trust-signals": "transparent_share < 50",
+    "freshness": "dated_share < 50",
+    "indexnow-readiness": "true",
+    "technical-metadata": f"{_score('technicalOptimization')} < 70",
+}
+_RULES_SQL = " UNION ALL ".join(
+    f"SELECT run_id, {n} AS n, '{k}' AS issue, '{I.ISSUES[k][0]}' AS category, '{I.ISSUES[k][1]}' AS priority, '{I.ISSUES[k][2]}' AS providers, '{I.ISSUES[k][3]}' AS effort, '{I.ISSUES[k][4]}' AS impact FROM metrics WHERE {c}" for n, (k, c) in enumerate(_ISSUES.items())
+)
+
+
 @query(
-    f"WITH {PAGES}, {METRICS}, r AS (SELECT run_id, 'csr-rendering' AS issue, 4 AS level FROM metrics WHERE render_heavy > 0 UNION ALL SELECT run_id, 'schema-differs', 3 FROM metrics WHERE mismatch > 0 UNION ALL "
-    "SELECT run_id, 'orphans', 3 FROM metrics WHERE orphans > 0 UNION ALL SELECT run_id, 'snippet-limits', 2 FROM metrics WHERE restricted > 0 UNION ALL SELECT run_id, 'weak-answers', 3 FROM metrics WHERE answer_first < 60 UNION ALL "
-    "SELECT run_id, 'no-sender', 2 FROM metrics WHERE transparent_share < 50 UNION ALL SELECT run_id, 'undated', 2 FROM metrics WHERE dated_share < 50) SELECT * FROM r"
+    f"WITH {PAGES}, {METRICS}, r AS ({_RULES_SQL}) SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, n) - 1 AS INT) AS place, issue, category, priority, providers, effort, impact FROM r"
 )
 def site_issues(spark: SparkSession, d: str) -> DataFrame:
     return I.site_issues(P.site_metrics(_snap(spark, d), AS_OF))
 
 
 _WEAK = f"({FLAGS_SQL['eligible']}) AND "
-_RULES = {"weak-answers": "coalesce(answer_first_signals.direct_answer_likelihood, 0) < 55", "no-sender": f"NOT ({FLAGS_SQL['transparent']})", "undated": "date_modified IS NULL AND date_published IS NULL", "thin-metadata": f"NOT (({FLAGS_SQL['titled']}) AND ({FLAGS_SQL['described']}) AND ({FLAGS_SQL['canonical']}) AND ({FLAGS_SQL['alt_ok']}))"}
+_RULES = {
+    "rendering-csr": FLAGS_SQL["render_heavy"],
+    "schema-mismatch": FLAGS_SQL["schema_mismatch"],
+    "orphan-pages": FLAGS_SQL["orphan"],
+    "snippet-controls": FLAGS_SQL["snippet_restricted"],
+    "answer-first": "coalesce(answer_first_signals.direct_answer_likelihood, 0) < 55",
+    "trust-signals": f"NOT ({FLAGS_SQL['transparent']})",
+    "freshness": "date_modified IS NULL AND date_published IS NULL",
+    "technical-metadata": f"NOT (({FLAGS_SQL['titled']}) AND ({FLAGS_SQL['described']}) AND ({FLAGS_SQL['canonical']}) AND ({FLAGS_SQL['alt_ok']}))",
+}
 
 
-@query(f"WITH {PAGES}, x AS (" + " UNION ALL ".join(f"SELECT run_id, crawl_seq, '{k}' AS issue, url FROM pages WHERE {_WEAK} {v}" for k, v in _RULES.items()) + ") SELECT run_id, issue, count(*) AS pages, array_to_string(list(url ORDER BY crawl_seq)[1:8], ' ') AS first_urls FROM x GROUP BY run_id, issue")
+@query(f"WITH {PAGES}, x AS (" + " UNION ALL ".join(f"SELECT run_id, crawl_seq, '{k}' AS issue, url FROM pages WHERE {_WEAK} ({v})" for k, v in _RULES.items()) + ") SELECT run_id, issue, count(*) AS pages, array_to_string(list(url ORDER BY crawl_seq)[1:8], ' ') AS first_urls FROM x GROUP BY run_id, issue")
 def affected_pages(spark: SparkSession, d: str) -> DataFrame:
     return I.affected_pages(_snap(spark, d))
 
@@ -308,13 +375,13 @@ def query_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def site_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return I.site_gaps(P.site_metrics(_snap(spark, d), AS_OF))
+def what_if(spark: SparkSession, d: str) -> DataFrame:
+    return I.what_if(_snap(spark, d), AS_OF)
 
 
 @query()
-def what_if(spark: SparkSession, d: str) -> DataFrame:
-    return I.what_if(_snap(spark, d), AS_OF)
+def page_impact(spark: SparkSession, d: str) -> DataFrame:
+    return I.page_impact(_snap(spark, d), AS_OF)
 
 
 @query()
@@ -332,7 +399,8 @@ def _answers() -> str:
         f"WITH {PAGES}, a AS (SELECT run_id, crawl_seq, trim(coalesce(first_paragraph, '')) AS o, lower(coalesce(h1, '')) AS h, lower(headings[1]) AS g, left(coalesce(body_text, ''), 500) AS b FROM pages), "
         rf"w AS (SELECT *, len(list_filter(string_split_regex(o, '\s+'), lambda x: length(x) > 2)) AS n, list_filter(string_split_regex(regexp_replace(h, '[?!.,]', '', 'g'), '\s+'), lambda x: length(x) > 2 AND x NOT IN ({words}))[1:3] AS topic, "
         f"({starts} OR suffix(h, '?') OR coalesce(suffix(g, '?'), false)) AS asks, length(o) > 20 AND {definition} AS defines, "
-        r"regexp_matches(o, '(?i)\d\s*(%|kr|nok|usd|eur|gbp|months?|days?|weeks?|prosent|percent|million|billion|milliard)|\d\d') AS numbers, regexp_matches(b, '(^|\s)([-•*]|\d+[.)])\s') AS listed FROM a), "
+        rf"regexp_matches(o, '(?i)\d+[.,]?\d*\s*({'|'.join(P.UNITS)}|\bår\b|\b({'|'.join(P.WORD_UNITS)})\b)|\b\d{{2,}}\b') AS numbers, "
+        r"regexp_matches(b, '(^|\s)([-•*]|\d+[.)])\s') AS listed FROM a), "
         "r AS (SELECT *, CASE WHEN len(topic) > 0 THEN CAST(len(list_filter(topic, lambda x: contains(lower(o), x))) AS DOUBLE) / len(topic) ELSE 0 END AS ratio, "
         r"CAST(CASE WHEN length(o) < 40 THEN 0 WHEN regexp_matches(lower(o), '^(it|this|that|these|those|den|det|dette|disse|de|her|here)\b') THEN 0.2 "
         f"WHEN regexp_matches(o, '(?i){boilerplate}') THEN 0.1 ELSE least(1.0, (CASE WHEN length(o) BETWEEN 60 AND 350 THEN 0.4 WHEN length(o) > 350 THEN 0.2 ELSE 0.3 END) + (CASE WHEN n >= 5 THEN 0.6 WHEN n >= 3 THEN 0.3 ELSE 0 END)) END AS DOUBLE) AS standalone FROM w), "
@@ -415,3 +483,32 @@ _PROVIDERS = {
 }
 SQL["provider_scores"] = f"WITH {PAGES}, {METRICS} " + " UNION ALL ".join(f"SELECT run_id, '{p}' AS provider, round(least(100.0, greatest(0.0, CAST(100 - ({x}) AS DOUBLE))), 1) AS score FROM metrics" for p, x in _PROVIDERS.items())
 SQL["issue_lists"] = f"SELECT run_id, string_agg('## ' || issue || chr(10) || '- ' || replace(first_urls, ' ', chr(10) || '- '), chr(10) || chr(10) ORDER BY issue) AS text FROM ({SQL['affected_pages']}) GROUP BY run_id"
+
+
+def _rewritten(condition: str, run: str, where: str) -> str:
+    """Pages as rewritten where the condition holds; run: their run_id."""
+    return (
+        f"SELECT * REPLACE ({run} AS run_id, {{'direct_answer_likelihood': CASE WHEN {condition} THEN 92 ELSE answer_first_signals.direct_answer_likelihood END}} AS answer_first_signals, CASE WHEN {condition} THEN greatest(coalesce(faq_count, 0), 1) ELSE faq_count END AS faq_count, "
+        f"CASE WHEN {condition} AND date_modified IS NULL AND date_published IS NULL THEN TIMESTAMP '{AS_OF}' ELSE date_modified END AS date_modified) FROM pages WHERE {where}"
+    )
+
+
+def _providers_sql(metrics: str) -> str:
+    return " UNION ALL ".join(f"SELECT run_id, '{p}' AS score_id, {one_decimal(f'least(100.0, greatest(0.0, CAST(100 - ({x}) AS DOUBLE)))')} AS score FROM {metrics}" for p, x in _PROVIDERS.items())
+
+
+def _side(metrics: str) -> str:
+    return f"SELECT run_id, score_id, score FROM ({scores_sql(metrics)}) UNION ALL {_providers_sql(metrics)}"
+
+
+SQL["provider_scores"] = f"WITH {PAGES}, {METRICS} SELECT run_id, score_id AS provider, score FROM ({_providers_sql('metrics')})"
+SQL["what_if"] = (
+    f"WITH {PAGES}, better AS ({_rewritten('coalesce(answer_first_signals.direct_answer_likelihood, 0) < 55', 'run_id', 'true')}), {METRICS}, {metrics_sql('better', 'later')}, a AS ({_side('metrics')}), b AS ({_side('later')}) "
+    f"SELECT run_id, score_id, a.score AS before, b.score AS after, {one_decimal('b.score - a.score')} AS change FROM a JOIN b USING (run_id, score_id)"
+)
+_ALONE = "run_id || '#' || CAST(crawl_seq AS VARCHAR)"
+SQL["page_impact"] = (
+    f"WITH {PAGES}, single AS ({_rewritten('true', _ALONE, FLAGS_SQL['eligible'])}), {METRICS}, {metrics_sql('single', 'alone')}, a AS ({scores_sql('metrics')}), ta AS ({totals_sql('a')}), b AS ({scores_sql('alone')}), tb AS ({totals_sql('b')}), "
+    f"c AS (SELECT p.run_id, p.crawl_seq, ta.total AS before, tb.total AS after, {one_decimal('tb.total - ta.total')} AS change FROM pages p JOIN ta ON ta.run_id = p.run_id JOIN tb ON tb.run_id = p.run_id || '#' || CAST(p.crawl_seq AS VARCHAR) WHERE {FLAGS_SQL['eligible']}) "
+    "SELECT * REPLACE (CAST(rank_no AS INT) AS rank_no) FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY change DESC, crawl_seq) AS rank_no FROM c) WHERE rank_no <= 5"
+)

@@ -44,28 +44,64 @@ def test_site_scores_of_one_good_page(make):
     assert (row.pages, row.eligible, row.answer_first, row.schema_coverage) == (1, 1, 90.0, 100.0)
     assert row.freshness == pytest.approx(100 - 30 / 365 * 100)
     scores = pages.site_scores(m, clusters.topic_clusters(make({})))
-    want = {"crawlability": 100.0, "rendering": 100.0, "answer_first": 84.0, "citation": 100.0, "schema": 90.0, "linking": 100.0, "zero_click": 95.0, "freshness": 95.1, "technical": 100.0, "clusters": 33.2}
+    want = {
+        "crawlabilityIndexation": 100.0, "renderingAiAccessibility": 100.0, "answerFirstContent": 84.0, "citationAuthorityEntitySignals": 100.0, "schemaSemanticSearch": 90.0,
+        "internalLinking": 100.0, "zeroClickAiOverviews": 95.0, "contentFreshness": 95.1, "technicalOptimization": 100.0, "searchIntentTopicClusters": 33.2,
+    }
     assert {r.score_id: r.score for r in scores.collect()} == want
     assert pages.total_score(scores).first().total == 89.8
     providers = {r.provider: r.score for r in pages.provider_scores(m).collect()}
     assert providers == {"openai": 100.0, "google": 100.0, "bing": 96.0, "perplexity": 100.0, "citation": 100.0}
-    assert pages.site_scores(m).count() == 9
+    assert {r.score_id: r.score for r in pages.site_scores(m).collect()} == want | {"searchIntentTopicClusters": 8.0}
 
 
 def test_findings(make, spark):
     weak = {"answer_first_signals": BASE["answer_first_signals"] | {"direct_answer_likelihood": 10}, "date_published": None, "date_modified": None, "title": "x"}
     df = make(*[weak | {"url": f"https://s.example/{i}"} for i in range(10)], {})
     got = {r.issue: r for r in insights.affected_pages(df).collect()}
-    assert {k: v.pages for k, v in got.items()} == {"weak-answers": 10, "undated": 10, "thin-metadata": 10}
-    assert got["undated"].first_urls.split(" ") == [f"https://s.example/{i}" for i in range(8)]
-    metrics = pages.site_metrics(df, "2026-01-31")
-    assert {(r.issue, r.level) for r in insights.site_issues(metrics).collect()} == {("weak-answers", 3), ("undated", 2)}
-    after = {r.metric: (r.before, r.after) for r in insights.what_if(df, "2026-01-31").collect()}
-    assert after["answer_first"][1] > after["answer_first"][0] and after["dated_share"][1] == 100.0
-    both = make(*[weak | {"crawl_seq": i} for i in range(2)], {"run_id": "other", "crawl_seq": 0})
-    gaps = {(r.run_id, r.gap) for r in insights.site_gaps(pages.site_metrics(both, "2026-01-31")).collect()}
-    assert gaps == {("r", "answer_first"), ("r", "freshness")}
-    assert insights.markdown_lists(insights.affected_pages(df), "run_id", "issue", "first_urls").first().text.startswith("## thin-metadata\n- https://s.example/0")
+    assert {k: v.pages for k, v in got.items()} == {"answer-first": 10, "freshness": 10, "technical-metadata": 10}
+    assert got["freshness"].first_urls.split(" ") == [f"https://s.example/{i}" for i in range(8)]
+    assert insights.markdown_lists(insights.affected_pages(df), "run_id", "issue", "first_urls").first().text.startswith("## answer-first\n- https://s.example/0")
+    after = {r.score_id: (r.before, r.after, r.change) for r in insights.what_if(df, "2026-01-31").collect()}
+    assert set(after) == {*pages.WEIGHTS, *pages.PROVIDERS}
+    assert after["answerFirstContent"][1] > after["answerFirstContent"][0] and after["contentFreshness"][1] > after["contentFreshness"][0] and after["internalLinking"][2] == 0
+    best = insights.page_impact(df, "2026-01-31").orderBy("rank_no").collect()
+    assert len(best) == 5 and [r.change for r in best] == sorted((r.change for r in best), reverse=True) and best[0].crawl_seq == 10
+
+
+def test_all_issues_in_order(make):
+    """A bad page brings every issue, ordered by priority; a good one only that the site doesn't announce changes."""
+    bad = {
+        "answer_first_signals": BASE["answer_first_signals"] | {"direct_answer_likelihood": 10}, "date_published": None, "date_modified": None, "title": "x", "meta_description": "", "canonical_url": None, "images_without_alt": 1,
+        "author": None, "publisher": None, "has_about_link": False, "has_contact_link": False, "discovered_from": "sitemap", "inbound_links": 0, "schema": BASE["schema"] | {"matches_visible_content": False},
+        "rendering": BASE["rendering"] | {"rendering_model": "csr"}, "snippet_directives": {"no_snippet": True, "max_snippet": None, "data_no_snippet": False}, "has_transcript_signals": False,
+    }
+    rows = insights.site_issues(pages.site_metrics(make(bad), "2026-01-31")).orderBy("place").collect()
+    assert [r.issue for r in rows] == ["rendering-csr", "schema-mismatch", "orphan-pages", "answer-first", "snippet-controls", "trust-signals", "freshness", "technical-metadata", "indexnow-readiness"]
+    assert [r.priority for r in rows] == ["critical"] + ["high"] * 3 + ["medium"] * 4 + ["low"]
+    assert {r.issue: r.pages for r in insights.affected_pages(make(bad)).collect()} == {r.issue: 1 for r in rows if r.issue != "indexnow-readiness"}
+    good = pages.site_metrics(make({}), "2026-01-31")
+    assert [r.issue for r in insights.site_issues(good).collect()] == ["indexnow-readiness"] and insights.site_issues(good, "verified").count() == 0
+
+
+def test_gaps_to_competitors(make, spark):
+    weak = {"answer_first_signals": BASE["answer_first_signals"] | {"direct_answer_likelihood": 10}, "schema": BASE["schema"] | {"item_count": 0}, "date_published": None, "date_modified": None}
+    rows = [weak | {"run_id": "own", "crawl_seq": 0}] + [{"run_id": r, "crawl_seq": i} for r in ("a", "b") for i in range(12)] + [weak | {"run_id": "other", "crawl_seq": 0}]
+    metrics = pages.site_metrics(make(*rows), "2026-01-31")
+    rivals = spark.createDataFrame([("own", "a"), ("own", "b"), ("a", "own"), ("other", "lost")], "run_id string, rival_run_id string")
+    got = {(r.run_id, r.gap): (r.own, r.others) for r in insights.site_gaps(metrics, rivals).collect()}
+    assert got == {("own", "schema-gap"): (0.0, 100.0), ("own", "answer-first-gap"): (10.0, 90.0), ("own", "freshness-gap"): (0.0, 91.8), ("own", "coverage-gap"): (1.0, 12.0)}
+    names = lambda *rs: spark.createDataFrame(rs, "run_id string, name string")
+    lost = insights.missing_clusters(names(("own", "boats"), ("b", "roofs")), names(("own", "boats"), ("own", "roofs"), ("own", "roofs")))
+    assert [tuple(r) for r in lost.collect()] == [("own", "roofs")]
+
+
+def test_numbers_of_an_opening(spark):
+    from skarv.operators.pages import NUMBERS
+
+    cases = {"3år siden": True, "3 år siden": False, "B12 vitamin": False, "12 vitaminer": True, "5 % off": True, "3months": False, "3 months": True, "1,5 prosent": True, "i 2026": True, "no 7": False}
+    df = spark.createDataFrame(list(cases.items()), "t string, want boolean")
+    assert [r.t for r in df.filter(F.col("t").rlike(NUMBERS) != F.col("want")).collect()] == []
 
 
 def test_small_functions(spark):
@@ -120,10 +156,10 @@ def test_metric_rules(spark):
     queries = spark.createDataFrame([("d", dt.date(2026, 4, 20), "/a", "gap", 0, 60, 0.0, 9.0), ("d", dt.date(2026, 4, 20), "/b", "gap", 0, 50, 0.0, 8.0), ("d", dt.date(2026, 4, 20), "/c", "gap", 0, 49, 0.0, 8.0), ("d", dt.date(2026, 4, 20), "/c", "ok", 1, 900, 0.0, 8.0)], "domain string, date date, page string, query string, clicks bigint, impressions bigint, ctr double, position double")
     landing = spark.createDataFrame([("d", dt.date(2026, 4, 20), "/sell", 1000, 9, 0.5), ("d", dt.date(2026, 4, 20), "/fine", 1000, 10, 0.5)], "domain string, date date, page string, sessions bigint, conversions bigint, bounce_rate double")
     got = {(r.kind, r.subject, r.level, r.measure) for r in search.opportunities(page, queries, landing, "2026-04-30").collect()}
-    assert got == {("low-ctr", "/low", 2, 600.0), ("falling", "/down", 4, 40.0), ("near-first-page", "/near", 3, 100.0), ("low-conversion", "/sell", 4, 1000.0), ("uncovered-query", "gap", 2, 110.0)}
+    assert got == {("high-impressions-low-ctr", "/low", 2, 600.0), ("traffic-down", "/down", 4, 40.0), ("near-page-one", "/near", 3, 100.0), ("high-traffic-low-conversion", "/sell", 4, 1000.0), ("query-gap", "gap", 2, 110.0)}
     gap = search.uncovered_queries(queries).first()
     assert (gap.page, gap.position) == ("/a", 9.0)
-    assert search.digest_lines(search.opportunities(page, queries, landing, "2026-04-30")).first().lines.startswith("1. [low-conversion] /sell")
+    assert search.digest_lines(search.opportunities(page, queries, landing, "2026-04-30")).first().lines.startswith("1. [high-traffic-low-conversion] /sell")
 
 
 def test_merges(spark):
