@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from skarv.functions.arrow import slices
 from skarv.functions.urls import url_col
 from skarv.llm.pages import counting_pages, page_url
+from skarv.operators.joins import salted_join
 from skarv.runtime import cut
 from skarv.sources.tables import latest
 
@@ -159,7 +160,8 @@ def _with_nodes(pages: DataFrame) -> DataFrame:
     """pages with nodes: the content nodes of its own lines and probes, as h, imp, link."""
     keys = ["page", "crawl_seq"]
     asked = pages.select(*keys, "site", F.explode(F.concat("ask", "probes")).alias("h"))
-    hit = asked.join(_tree(pages), ["site", "h"])
+    # a line of every page of a hot site is spread over tasks
+    hit = salted_join(asked, _tree(pages), ["site", "h"], keys, salts=4)
     per_page = hit.groupBy(*keys).agg(F.collect_list(F.struct("h", "imp", "link")).alias("nodes"))
     return pages.join(per_page, keys, "left").drop("ask", "probes", "url", "site", "page")
 
@@ -335,7 +337,7 @@ def boilerplate(page_snapshots: DataFrame, audit_runs: DataFrame) -> DataFrame:
     their main heading (h1) in the text have no main content. first_paragraph is not main if it is such a line, or if the page
     has no main content; null or blank ones give no row. Null body gives only first_paragraph's row. Pages delivered twice count
     once; a page whose run is unknown has its run as site; an empty table gives no rows.
-    Runs jobs: pages with line hashes are written once, then pages with their nodes, then small records of their lines and the
+    Runs jobs: pages with line hashes are written once, then small records of their lines and the
     shapes on EVIDENCE pages or more; common shapes are gathered by the driver (at most 1/SHAPE_SHARE times the mean number of
     lines), all others joined to the pages that need them.
     """
@@ -355,9 +357,8 @@ def _analysed(page_snapshots: DataFrame, audit_runs: DataFrame) -> tuple[DataFra
     counted = counting_pages(hashed, {n: F.col(n) for n in names}).join(sites, "run_id", "left")
     site = F.coalesce("site", F.xxhash64("run_id"))
     pages = cut(counted.withColumns({"site": site, "page": F.xxhash64("run_id", "crawl_seq")}), "boilerplate-pages")
-    pages = cut(_with_nodes(pages), "boilerplate-nodes")
     kinds = f"run_id string, crawl_seq {seq}, noise array<int>, first array<int>, text boolean, found boolean, lines array<struct<i:int,f:bigint,b:bigint,imp:float,bits:int>>"
-    facts = cut(pages.mapInArrow(_facts, kinds), "boilerplate-facts")
+    facts = cut(_with_nodes(pages).mapInArrow(_facts, kinds), "boilerplate-facts")
     table = cut(_shape_table(facts), "boilerplate-shapes")
     least = max(EVIDENCE, SHAPE_SHARE * facts.count())
     shapes = {r["f"]: (r["mean"], r["ends"]) for r in table.filter(F.col("pages") >= least).collect()}
