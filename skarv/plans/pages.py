@@ -313,7 +313,7 @@ def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def topic_members(spark: SparkSession, d: str) -> DataFrame:
-    return C.members(C.term_weights(C.documents(_snap(spark, d))))
+    return C.members(C.documents(_snap(spark, d)))
 
 
 # findings

@@ -1,6 +1,9 @@
 """Page scores, clusters, metrics and text on small fixtures with hand-made results."""
 
 import datetime as dt
+import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,7 +151,42 @@ def test_clusters_follow_crawl_order(make):
     same = {"title": "boat hire harbour", "h1": "boat hire", "first_paragraph": "boats", "headings": ["harbour boats"], "internal_links": []}
     other = {"title": "yoga class studio", "h1": "yoga", "first_paragraph": "breathing", "headings": ["studio class"], "internal_links": []}
     got = {(r.leader, r.size, r.name) for r in clusters.topic_clusters(make(same, other, same, same | {"word_count": 80})).collect()}
-    assert got == {(0, 2, "boat / boats"), (1, 1, "breathing / class")}
+    assert got == {(0, 2, "boat / hire"), (1, 1, "yoga / class")}
+
+
+def brute_clusters(words):
+    """Leaders and mean positive cosines, pair by pair."""
+    df = Counter(w for page in words for w in set(page))
+    vectors = [{w: c / len(page) * (math.log((1 + len(words)) / (1 + df[w])) + 1) for w, c in Counter(page).items()} for page in words]
+    cosine = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items()) / (math.hypot(*a.values()) * math.hypot(*b.values())) if a and b else 0.0
+    leader = {}
+    for i, v in enumerate(vectors):
+        if i not in leader:
+            leader |= {j: i for j in range(i, len(words)) if j not in leader and (j == i or cosine(v, vectors[j]) >= 0.18)}
+    means = {}
+    for s in set(leader.values()):
+        rows = [i for i in range(len(words)) if leader[i] == s]
+        sims = [c for k, i in enumerate(rows) for j in rows[k + 1 :] if (c := cosine(vectors[i], vectors[j])) > 0]
+        means[s] = sum(sims) / len(sims) if sims else 0.0
+    return [leader[i] for i in range(len(words))], means
+
+
+def test_clusters_against_brute_force():
+    rnd = random.Random(8)
+    for _ in range(20):
+        words = [[f"w{min(rnd.randrange(60), rnd.randrange(60))}" for _ in range(rnd.randint(0, 12))] for _ in range(40)]
+        at, ids, unit, names = clusters._vectors(words)
+        leader, means = brute_clusters(words)
+        got = clusters._lead(at, ids, unit, len(names)).tolist()
+        assert got == leader
+        for s, mean in means.items():
+            assert clusters._mean_similarity([i for i in range(40) if got[i] == s], at, ids, unit) == pytest.approx(mean, abs=1e-9)
+
+
+def test_clusters_of_a_very_large_audit(spark):
+    rows = spark.range(30_000).select(F.lit("r").alias("run_id"), F.col("id").alias("crawl_seq"), F.expr("array('site', concat('topic', id % 40), concat('sub', id % 40), concat('page', id), 'service')").alias("words"))
+    got = clusters.members(rows).groupBy("leader").count().collect()
+    assert {r.leader: r["count"] for r in got} == {i: 750 for i in range(40)}
 
 
 def test_metric_rules(spark):
