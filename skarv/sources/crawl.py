@@ -17,26 +17,27 @@ NO_PAGE = r"(?i)\.(jpe?g|png|gif|webp|svg|ico|pdf|zip|gz|mp[34]|webm|avi|css|js|
 MERGE = 20
 
 
-def sitemap_urls(seeds: DataFrame, files: DataFrame, rounds: int = 5) -> DataFrame:
+def sitemap_urls(seeds: DataFrame, files: DataFrame) -> DataFrame:
     """url: what the sitemaps reachable from seeds (url) list, in files (url, content).
 
     A file is read once. Of its locations those ending in .xml or .xml.gz are sitemaps of the next round, the others are
-    results. Each round is one join; `rounds` bounds the nesting, and deeper levels raise an error rather than being dropped.
+    results. Each round is one join; it ends when no sitemap is new, however deep they are nested or whether they name one another.
     """
     loc = files.select("url", F.explode(F.regexp_extract_all("content", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("loc")).select("url", decode_entities(F.col("loc")).alias("loc"))
     links = cut(loc.distinct(), "sitemap-links")
     level = seeds.select("url").distinct()
     seen, found = level, None
-    for _ in range(rounds + 1):
+    for n in count(1):
         here = links.join(level, "url", "left_semi").select(F.col("loc").alias("url")).distinct()
         is_map = F.col("url").rlike(r"(?i)\.xml(\.gz)?$")
         pages = here.filter(~is_map)
         found = pages if found is None else found.unionByName(pages)
-        level = cut(here.filter(is_map).join(seen, "url", "left_anti"), "sitemap-level")
+        level = cut(here.filter(is_map).join(seen, "url", "left_anti"), f"sitemap-{n}")
         if level.isEmpty():
             return found.distinct()
         seen = seen.unionByName(level)
-    raise ValueError(f"sitemaps are nested deeper than {rounds} rounds")
+        if n % MERGE == 0:
+            seen, found = cut(seen, f"sitemap-seen-{n}"), cut(found.distinct(), f"sitemap-found-{n}")
 
 
 def crawl(seeds: DataFrame, links: DataFrame) -> DataFrame:

@@ -126,6 +126,9 @@ def test_dates_that_are_far_off(spark):
     got = {(r.s, r.date): r.state for r in grid(spark, rows)}
     assert got["far", dt.date(1, 1, 2)] == "unsupported" and got["late", dt.date(9999, 12, 31)] == "observed"
     assert got["s1", d(0)] == "observed" and len(got) == 5 * 19 + 3 + 1
+    far = [(f"t{i}", dt.date(9000, 1, 1) + dt.timedelta(days=t), float(i + t), "x") for i in range(5) for t in range(12) if t in (0, 11) or (i + t) % 5]
+    got = {(r.s, r.date): r.state for r in grid(spark, rows + far)}
+    assert {v for (s, _), v in got.items() if s[0] == "t"} == {"observed", "filled"}  # days 7,000 years off have factors of their own
 
 
 def test_readings_without_a_common_shape_are_filled_by_the_mean(spark):

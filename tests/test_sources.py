@@ -40,8 +40,8 @@ def test_sitemaps_and_crawl(spark):
     files = spark.createDataFrame([("m.xml", loc("n.xml", "p&amp;1")), ("n.xml", loc("m.xml", "p2", "p2")), ("other.xml", loc("p3"))], "url string, content string")
     seeds = spark.createDataFrame([("m.xml",)], "url string")
     assert sorted(r.url for r in crawl.sitemap_urls(seeds, files).collect()) == ["p&1", "p2"]
-    with pytest.raises(ValueError):
-        crawl.sitemap_urls(seeds, files, rounds=0)
+    deep = spark.createDataFrame([(f"s{i}.xml", f"<loc>s{i + 1}.xml</loc><loc>s0.xml</loc><loc>p{i}</loc>") for i in range(25)], "url string, content string")
+    assert crawl.sitemap_urls(spark.createDataFrame([("s0.xml",)], "url string"), deep).count() == 25
     h = "https://a.example"
     links = spark.createDataFrame([(h, h + "/1"), (h + "/", h + "/2/"), (h + "/1", h + "/2#x"), (h + "/2", h + "/3"), (h + "/2", h + "/pic.jpg"), (h + "/2", "https://b.example/"), (h + "/9", h + "/8")], "src string, dst string")
     got = {r.url: r.depth for r in crawl.crawl(spark.createDataFrame([(h,)], "url string"), links).collect()}
