@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skarv.functions.text import round1
 from skarv.functions.unicode import tokens
-from skarv.operators.pages import FLAG_COLUMNS, KEYS, counting, flags, provider_scores, score_columns, site_metrics, site_scores, total_score, yes
+from skarv.operators.pages import FLAG_COLUMNS, KEYS, PROVIDERS, counting, flags, provider_scores, score_columns, site_metrics, site_scores, total_score, yes
 from skarv.runtime import cut
 
 
@@ -209,3 +209,41 @@ def client_key(forwarded: Column) -> Column:
 def band(score: Column, strong: float = 80, fair: float = 60) -> Column:
     """strong, fair or weak."""
     return F.when(score >= strong, "strong").when(score >= fair, "fair").otherwise("weak")
+
+
+#: What a page needs, with the points that each need counts.
+NEEDS = {"title-length": 3, "description-length": 3, "no-schema": 3, "schema-mismatch": 0, "late-answer": 4}
+
+
+def page_needs(page_snapshots: DataFrame, most: int = 15) -> DataFrame:
+    """run_id, crawl_seq, needs, points, rank_no: what every eligible page lacks, the first `most` of each run by points.
+
+    A title has 35 to 60 characters, a description 120 to 160; a page has structured data that matches what it shows, and an answer
+    likelihood of 70 or more. Ties by crawl order.
+    """
+    long = lambda c, low, high: ~F.coalesce(F.length(c), F.lit(0)).between(low, high)
+    typed = yes(F.size("schema.types") > 0)
+    rules = {
+        "title-length": long("title", 35, 60),
+        "description-length": long("meta_description", 120, 160),
+        "no-schema": ~typed,
+        "schema-mismatch": typed & ~yes(F.col("schema.matches_visible_content")),
+        "late-answer": F.coalesce("answer_first_signals.direct_answer_likelihood", F.lit(0)) < 70,
+    }
+    pages = counting(page_snapshots, FLAG_COLUMNS).filter(flags()["eligible"])
+    points = sum((F.when(c, NEEDS[n]).otherwise(0) for n, c in rules.items()), F.lit(0))
+    rows = pages.select(*KEYS, F.concat_ws(" ", *[F.when(c, F.lit(n)) for n, c in rules.items()]).alias("needs"), points.alias("points"))
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("points"), "crawl_seq"))
+    return rows.withColumn("rank_no", rank).filter(F.col("rank_no") <= most)
+
+
+def run_summaries(metrics: DataFrame, index_now: str = "unknown") -> DataFrame:
+    """run_id, eligible, strongest, strongest_score, first_issue, issues: what an audit's summary is made of.
+
+    strongest: the provider with the highest score, of equal ones the first of PROVIDERS; first_issue: by priority, then rule.
+    """
+    place = F.array_position(F.array(*[F.lit(p) for p in PROVIDERS]), F.col("provider"))
+    best = provider_scores(metrics).groupBy("run_id").agg(F.max(F.struct("score", -place, "provider")).alias("b"))
+    found = site_issues(metrics, index_now).groupBy("run_id").agg(F.min_by("issue", "place").alias("first_issue"), F.count("*").alias("issues"))
+    rows = metrics.select("run_id", "eligible").join(best, "run_id").join(found, "run_id", "left")
+    return rows.select("run_id", "eligible", F.col("b.provider").alias("strongest"), F.col("b.score").alias("strongest_score"), "first_issue", F.coalesce("issues", F.lit(0)).alias("issues"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from skarv.operators import pages as P
 from skarv.plans.pages import PAGES, url_sql
 from skarv.sources import crawl as C
-from skarv.sources import html as H
 from skarv.sources import requests as Q
 from skarv.sources.tables import table
 from skarv.streaming import state as T
@@ -55,11 +54,6 @@ def request_checks(spark: SparkSession, d: str) -> DataFrame:
     return Q.run_requests(table(spark, d, "audit_runs"))
 
 
-@query()
-def html_documents(spark: SparkSession, d: str) -> DataFrame:
-    return H.html_pages(table(spark, d, "documents"), "doc_id", "url", "text")
-
-
 @query()
 def crawl_depths(spark: SparkSession, d: str) -> DataFrame:
     pages = P.counting(table(spark, d, "page_snapshots"), ["url", "discovered_from", "internal_links"])
@@ -72,8 +66,9 @@ def _crawl_sql() -> str:
     return (
         f"WITH RECURSIVE {PAGES}, links AS (SELECT url AS s, unnest(internal_links) AS t FROM pages), e AS (SELECT DISTINCT src, dst FROM (SELECT {url_sql('s')} AS src, {url_sql('t')} AS dst FROM links) "
         f"WHERE {host.format('src')} = {host.format('dst')} AND {host.format('dst')} <> '' AND NOT regexp_matches(dst, '{C.NO_PAGE}')), "
-        f"r AS (SELECT DISTINCT {url_sql('url')} AS url, 0 AS depth FROM pages WHERE discovered_from = 'seed' UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 20) "
-        "SELECT url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY url"
+        f"r(url, depth) USING KEY (url) AS (SELECT DISTINCT {url_sql('url')} AS url, 0 AS depth FROM pages WHERE discovered_from = 'seed' UNION "
+        "SELECT e.dst, min(r.depth) + 1 FROM r JOIN e ON e.src = r.url LEFT JOIN recurring.r AS k ON k.url = e.dst WHERE k.url IS NULL GROUP BY e.dst) "
+        "SELECT url, CAST(depth AS INT) AS depth FROM r"
     )
 
 

@@ -91,3 +91,28 @@ def test_latest_counts(spark):
     assert got == {("a", 2), ("b", 7), (None, 8)}
     stamped = df.withColumn("ingested_at", F.timestamp_seconds("ingested_at"))
     assert {(r.k, r.v) for r in latest_value(stamped, ["k"], "v").collect()} == got
+
+
+FULL = """<html><head><title>T</title><meta property="article:published_time" content="2026-01-02"><script type="application/ld+json">{"@type": "Article", "headline": "A headline of the page", "author": {"name": "Ann"}, "publisher": "Firm", "dateModified": "no date"}</script></head>
+<body><h1>A headline of the page</h1><p>[gallery id=3] Opening {{x}} line of text that is long enough to be a concise opening here.</p><time datetime="2026-02-03T04:05:06+02:00">x</time><ul><li>a</ul><table></table>
+<video><track kind="captions"></video><a href="/om-oss">Who</a><a href="/x">Kontakt</a></body></html>"""
+
+
+def test_html_fields_of_a_full_page():
+    row = html.read_html("https://a.example/p", FULL, "noindex, max-snippet:5")
+    assert row["first_paragraph"].startswith("Opening line") and "gallery" not in row["body_text"] and row["concise_opening"]
+    assert (row["author"], row["publisher"], row["schema_visible"]) == ("Ann", "Firm", True)
+    assert (row["date_published"], row["date_modified"]) == ("2026-01-02T00:00:00.000Z", "2026-02-03T02:05:06.000Z")
+    assert row["has_about_link"] and row["has_contact_link"] and row["has_transcript_signals"] and row["has_table"] and row["has_list"] and not row["has_faq"]
+    assert row["noindex"] and row["max_snippet"] == 5 and row["robots_meta"] == [] and row["raw_text_length"] == len(row["body_text"])
+    other = html.read_html("https://a.example/", '<meta name="author" content=""><script type="application/ld+json">{"name": "Something else entirely", "author": "Bo"}</script><p>x<a rel="author" href=/bo>By Bo</a></p><p>utskrift')
+    assert other["author"] is None and not other["schema_visible"] and other["has_transcript_signals"] and not other["has_about_link"]
+    assert html.read_html("https://a.example/", '<a rel="author" href=/>By <b>Bo</b></a><p>x')["author"] == "By Bo"
+    assert html.probe([{"a": {"b": " "}}, {"a": {"b": "c"}}], "a.b", "a") == "c" and html.probe([], "a") is None
+
+
+def test_blocked_pages_have_an_empty_row(spark):
+    df = spark.createDataFrame([(1, FULL, True, None), (2, FULL, None, "nosnippet")], "k int, html string, blocked boolean, h string").withColumn("url", F.lit("https://a.example/"))
+    rows = {r.k: r for r in html.html_pages(df, "k", header="h", blocked="blocked").collect()}
+    assert (rows[1].title, rows[1].raw_html_bytes, rows[1].word_count, rows[1].schema_visible) == ("", 0, 0, True)
+    assert rows[2].no_snippet and rows[2].raw_html_bytes == len(FULL)
