@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from skarv.functions.arrow import slices
 from skarv.functions.urls import url_col
 from skarv.llm.pages import counting_pages, page_url
-from skarv.operators.joins import salted_join
 from skarv.runtime import cut
 from skarv.sources.tables import latest
 
@@ -160,8 +159,8 @@ def _with_nodes(pages: DataFrame) -> DataFrame:
     """pages with nodes: the content nodes of its own lines and probes, as h, imp, link."""
     keys = ["page", "crawl_seq"]
     asked = pages.select(*keys, "site", F.explode(F.concat("ask", "probes")).alias("h"))
-    # a line of every page of a hot site is spread over tasks
-    hit = salted_join(asked, _tree(pages), ["site", "h"], keys, salts=4)
+    # the tree is nearly as large as what is asked, so it isn't salted: AQE splits the lines of a hot site, as the pages are grouped anew
+    hit = asked.join(_tree(pages), ["site", "h"])
     per_page = hit.groupBy(*keys).agg(F.collect_list(F.struct("h", "imp", "link")).alias("nodes"))
     return pages.join(per_page, keys, "left").drop("ask", "probes", "url", "site", "page")
 
