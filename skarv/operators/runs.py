@@ -29,8 +29,8 @@ def newest(audit_runs: DataFrame, n: int = 20) -> DataFrame:
 
 
 def queued(audit_runs: DataFrame) -> DataFrame:
-    """Queued runs."""
-    return runs(audit_runs).filter(F.col("status") == "queued")
+    """Queued runs in the order in which they were created; ties by id."""
+    return runs(audit_runs).filter(F.col("status") == "queued").orderBy("created_at", "id")
 
 
 def stale(audit_runs: DataFrame, as_of: str, minutes: int = 10) -> DataFrame:

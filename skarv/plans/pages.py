@@ -283,11 +283,9 @@ def text_forms(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def text_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    from skarv.functions.unicode import slugs
-
-    pages = P.counting(_snap(spark, d), ["title", "first_paragraph", "body_text", "headings"])
+    pages = P.counting(_snap(spark, d), ["first_paragraph", "body_text", "headings"])
     body = F.col("body_text")
-    return pages.select(*P.KEYS, T.excerpt(body, 320).alias("excerpt"), T.trim_to(body, 155).alias("short"), T.opening_sentences(F.col("first_paragraph")).alias("opening"), T.list_sentence(F.coalesce("headings", F.array().cast("array<string>"))).alias("listed"), slugs("title").alias("slug"))
+    return pages.select(*P.KEYS, T.excerpt(body, 320).alias("excerpt"), T.trim_to(body, 155).alias("short"), T.opening_sentences(F.col("first_paragraph")).alias("opening"), T.list_sentence(F.coalesce("headings", F.array().cast("array<string>"))).alias("listed"))
 
 
 # term statistics and clusters
