@@ -154,24 +154,24 @@ class RollingState:
         Only the days that a corrected amount reaches are computed again, `max(windows)` for each; days before a series' first are added.
         Rows of other series and of later days are ignored.
         """
-        before, old = self.state(), self._totals()
-        longest = max(self.windows)
+        before, longest = self.state(), max(self.windows)
         known = self._rows(rows).join(before.select("k", "first", "last"), "k").filter(F.col("date") <= F.col("last"))
-        had = old.select("k", "date", *[F.col(m).alias(f"_{m}") for m in self.metrics])
-        deltas = known.join(had, ["k", "date"], "left")
-        deltas = deltas.select("k", "date", "first", "last", *[(F.col(m) - F.coalesce(f"_{m}", F.lit(0))).alias(m) for m in self.metrics])
-        reach = F.explode(F.sequence("date", F.least(F.date_add("date", longest - 1), F.col("last")))).alias("to")
-        reached = deltas.select("k", "date", *self.metrics, reach)
-        within = lambda m, w: F.when(F.datediff("to", "date") < w, F.col(m)).otherwise(F.lit(0))
-        parts = [*[within(m, 1).alias(m) for m in self.metrics], *[within(m, w).alias(f"{m}_sum_{w}") for m in self.metrics for w in self.windows]]
-        names = [*self.metrics, *self.sums]
-        earlier = deltas.groupBy("k").agg(F.min("date").alias("date"), F.first("first").alias("first")).filter("date < first")
-        earlier = earlier.select("k", F.explode(F.sequence("date", F.date_sub("first", 1))).alias("date"), *[F.lit(0).cast("bigint").alias(n) for n in names])
-        change = reached.select("k", F.col("to").alias("date"), *parts).unionByName(earlier).groupBy("k", "date").agg(*[F.sum(n).alias(f"_{n}") for n in names])
-        again = change.join(old, ["k", "date"], "left").select("k", "date", *[(F.col(f"_{n}") + F.coalesce(n, F.lit(0))).alias(n) for n in names])
-        # the states of corrected series, from their recent amounts and the differences
-        touched = deltas.select("k", "date", *self.metrics)
-        recent = before.join(touched.select("k").distinct(), "k", "left_semi").select("k", F.inline("recent"))
-        merged = recent.unionByName(touched).groupBy("k", "date").agg(*[F.sum(m).alias(m) for m in self.metrics])
-        state = self._with_state(merged).join(before.select("k", F.col("first").alias("_first")), "k").withColumn("first", F.least("first", "_first")).drop("_first")
-        self._write("c", again, state.unionByName(before.join(touched.select("k").distinct(), "k", "left_anti")))
+        touched = known.groupBy("k").agg(F.min("date").alias("date"), F.first("first").alias("first"))
+        days = self._totals().join(touched.select("k"), "k", "left_semi").select("k", "date", *self.metrics, *self.sums, F.lit(False).alias("added"))
+        zero = [F.lit(0).cast("bigint").alias(n) for n in (*self.metrics, *self.sums)]
+        earlier = touched.filter("date < first").select("k", F.explode(F.sequence("date", F.date_sub("first", 1))).alias("date"), *zero, F.lit(True).alias("added"))
+        now = known.select("k", "date", *[F.col(m).alias(f"_{m}") for m in self.metrics], F.lit(1).alias("_hit"))
+        met = days.unionByName(earlier).join(now, ["k", "date"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
+        met = met.withColumns({f"_{m}": F.when(F.col("_hit") == 1, F.col(f"_{m}") - F.col(m)).otherwise(F.lit(0)) for m in self.metrics})
+        # what was corrected up to a day, less what was up to `w` days before: the days of a series have no gaps
+        order = Window.partitionBy("k").orderBy("date")
+        carry = order.rowsBetween(Window.unboundedPreceding, 0)
+        run = met.withColumns({f"{c}_run": F.sum(c).over(carry) for c in ("_hit", *(f"_{m}" for m in self.metrics))})
+        within = lambda c, w: F.col(f"{c}_run") - F.coalesce(F.lag(f"{c}_run", w).over(order), F.lit(0))
+        again = run.withColumns({"_reached": within("_hit", longest), **{f"_{m}_{w}": within(f"_{m}", w) for m in self.metrics for w in self.windows}})
+        again = again.filter((F.col("_reached") > 0) | F.col("added"))
+        again = again.select("k", "date", *[(F.col(m) + F.col(f"_{m}")).alias(m) for m in self.metrics], *[(F.col(f"{m}_sum_{w}") + F.col(f"_{m}_{w}")).alias(f"{m}_sum_{w}") for m in self.metrics for w in self.windows])
+        # the states of corrected series, from their recent amounts and the new ones
+        recent = before.join(touched.select("k"), "k", "left_semi").select("k", F.inline("recent")).join(known.select("k", "date"), ["k", "date"], "left_anti")
+        state = self._with_state(recent.unionByName(known.select("k", "date", *self.metrics))).join(before.select("k", F.col("first").alias("_first")), "k").withColumn("first", F.least("first", "_first")).drop("_first")
+        self._write("c", again, state.unionByName(before.join(touched.select("k"), "k", "left_anti")))
